@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .common import joined
+from .decontam import contamination
 from .exact_dedup import exact_dedup, text_digest
+from .license_scan import licences
 from .sharding import shard_rows
 
 
@@ -19,7 +21,24 @@ def op7_sharding(spark, sf_dir):
     return shard_rows(docs).withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
-QUERIES = {"op5_exact_dedup": op5_exact_dedup, "op7_sharding": op7_sharding}
+def op6_license_scan(spark, sf_dir):
+    return licences(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def op10_decontamination(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+QUERIES = {"op6_license_scan": op6_license_scan, "op10_decontamination": op10_decontamination, "op5_exact_dedup": op5_exact_dedup, "op7_sharding": op7_sharding}
 
 ORACLE = {
     "op5_exact_dedup": """
@@ -28,5 +47,30 @@ WITH n AS (
 ), g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
 SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256
 FROM n JOIN g USING (t)
+""",
+    "op10_decontamination": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), iw AS (
+  SELECT DISTINCT item_id, w[s:s + least(len(w), 10) - 1] AS win
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS s FROM i WHERE len(w) > 0)
+), lens AS (SELECT DISTINCT len(win) AS n FROM iw
+), dw AS (
+  SELECT doc_id, s, n, w[s:s + n - 1] AS win
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM d, lens)
+), hit AS (SELECT doc_id, item_id, s, n FROM dw JOIN iw USING (win)
+), pos AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS p FROM hit) GROUP BY 1
+), its AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS l
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM hit) GROUP BY 1
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """,
 }
