@@ -9,6 +9,7 @@ from .decontam import contamination
 from .exact_dedup import exact_dedup, text_digest
 from .license_scan import licences
 from .sharding import shard_rows
+from .toxicity import toxicity, train
 
 
 def op5_exact_dedup(spark, sf_dir):
@@ -38,7 +39,20 @@ def op10_decontamination(spark, sf_dir):
     )
 
 
-QUERIES = {"op6_license_scan": op6_license_scan, "op10_decontamination": op10_decontamination, "op5_exact_dedup": op5_exact_dedup, "op7_sharding": op7_sharding}
+def held_out(doc_id):
+    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+
+
+def op3_toxicity(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    model = train(docs.join(labels.where(~held_out(F.col("doc_id"))), "doc_id").select("text", "toxic"))
+    return toxicity(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+QUERIES = {"op3_toxicity": op3_toxicity, "op6_license_scan": op6_license_scan, "op10_decontamination": op10_decontamination, "op5_exact_dedup": op5_exact_dedup, "op7_sharding": op7_sharding}
 
 ORACLE = {
     "op5_exact_dedup": """
