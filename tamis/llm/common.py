@@ -66,3 +66,10 @@ def restrict(df: DataFrame, keys: DataFrame, on: str, n_keys: int) -> DataFrame:
     """
     side = keys.select(on)
     return joined(df, F.broadcast(side) if n_keys <= BROADCAST_KEYS else side, [on], "left_semi")
+
+
+def sampled(rows: DataFrame, id_col: str, limit: int) -> DataFrame:
+    """At most `limit` ids' rows, chosen by a hash of the id: a bounded sample for fitting."""
+    order = F.xxhash64(F.col(id_col).cast("string"))
+    ids = rows.select(F.col(id_col).alias("__sid"), order.alias("__o")).orderBy("__o").limit(limit).select("__sid")
+    return rows.join(F.broadcast(ids.distinct()), F.col(id_col) == F.col("__sid"), "left_semi")

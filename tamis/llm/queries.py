@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import language_id, quality
 from .common import joined
 from .decontam import contamination
 from .exact_dedup import exact_dedup, text_digest
 from .license_scan import licences
+from .packing import pack_documents
 from .sharding import shard_rows
 from .toxicity import toxicity, train
 
@@ -52,7 +54,30 @@ def op3_toxicity(spark, sf_dir):
     )
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op6_license_scan": op6_license_scan, "op10_decontamination": op10_decontamination, "op5_exact_dedup": op5_exact_dedup, "op7_sharding": op7_sharding}
+def op4_packing(spark, sf_dir):
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def op8_language_id(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(~held_out(F.col("doc_id"))))
+    found = language_id.languages(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op9_quality(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality is not null").select("doc_id", "quality")
+    model = quality.train(docs.join(labels.where(~held_out(F.col("doc_id"))), "doc_id"))
+    return quality.quality(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op3_toxicity, op4_packing, op5_exact_dedup, op6_license_scan, op7_sharding, op8_language_id, op9_quality, op10_decontamination)
+}
 
 ORACLE = {
     "op5_exact_dedup": """
