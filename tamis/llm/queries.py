@@ -9,6 +9,7 @@ from .common import joined
 from .decontam import contamination
 from .exact_dedup import exact_dedup, text_digest
 from .license_scan import licences
+from .ngram_join import near_duplicates
 from .packing import pack_documents
 from .sharding import shard_rows
 from .toxicity import toxicity, train
@@ -54,6 +55,11 @@ def op3_toxicity(spark, sf_dir):
     )
 
 
+def op2_ngram_jaccard(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return near_duplicates(docs, size=4, percent=85)
+
+
 def op4_packing(spark, sf_dir):
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
@@ -76,7 +82,7 @@ def op9_quality(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_toxicity, op4_packing, op5_exact_dedup, op6_license_scan, op7_sharding, op8_language_id, op9_quality, op10_decontamination)
+    for f in (op2_ngram_jaccard, op3_toxicity, op4_packing, op5_exact_dedup, op6_license_scan, op7_sharding, op8_language_id, op9_quality, op10_decontamination)
 }
 
 ORACLE = {
