@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup, text_digest
 from .license_scan import licences
 from .ngram_join import near_duplicates
 from .packing import pack_documents
+from .pii import KINDS, listed, sanitised_spans
 from .sharding import shard_rows
 from .toxicity import toxicity, train
 
@@ -46,13 +47,32 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
+#: Documents that score this or more are toxic.
+TOXIC_FROM = 0.3
+
+
+def toxic_model(docs, labels):
+    """Learns from the labelled rows outside the held-out fold."""
+    labels = labels.where("toxic is not null").select("doc_id", "toxic").where(~held_out(F.col("doc_id")))
+    return train(docs.select("doc_id", "text").join(labels, "doc_id").select("text", "toxic"))
+
+
 def op3_toxicity(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
-    model = train(docs.join(labels.where(~held_out(F.col("doc_id"))), "doc_id").select("text", "toxic"))
-    return toxicity(docs, model).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
-    )
+    model = toxic_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    predicted = (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted")
+    return toxicity(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted)
+
+
+def op1_pii(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    base = F.filter("spans", lambda s: s["kind"].isin(*KINDS))
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in KINDS]
+    return sanitised_spans(docs).select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
 def op2_ngram_jaccard(spark, sf_dir):
@@ -82,7 +102,7 @@ def op9_quality(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_ngram_jaccard, op3_toxicity, op4_packing, op5_exact_dedup, op6_license_scan, op7_sharding, op8_language_id, op9_quality, op10_decontamination)
+    for f in (op1_pii, op2_ngram_jaccard, op3_toxicity, op4_packing, op5_exact_dedup, op6_license_scan, op7_sharding, op8_language_id, op9_quality, op10_decontamination)
 }
 
 ORACLE = {
