@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import joined, restrict, settle
 
-#: Words whose hash a task remembers.
+#: Sets that a task knows again.
 MEMORY = 500_000
 #: A token this many sets of a task share is counted for the frequent class.
 COMMON = 4
@@ -24,32 +23,83 @@ PAIRED = 300
 BLOCK = 64
 
 
-class Hashes(dict):
-    """word -> 64-bit hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMORY:
-            self.clear()
-        v = self[word] = xxhash.xxh64_intdigest(word)
-        return v
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: str | None, size: int, hashes: Hashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles; ASCII white space parts words, A-Z are lower-cased."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    n = min(size, len(h))
-    out = np.full(len(h) - n + 1, n, np.uint64)
-    for k in range(n):
-        out = mix(out + h[k : len(h) - n + 1 + k])
-    return np.unique(out)
+class Shingler:
+    """Sets of word shingles of whole Arrow columns, as sorted distinct 64-bit hashes.
+
+    ASCII white space parts words and A-Z are lower-cased.  A word's hash is
+    that of its bytes under a polynomial modulo 2^64 with random byte values,
+    taken from running sums over a run of documents, so no word is handled
+    alone.
+    """
+
+    #: Bytes of text that one vectorised step takes (a longer document is a step of its own).
+    STEP = 1 << 20
+
+    def __init__(self, size: int) -> None:
+        self.size = size
+        values = np.random.default_rng(20_011).integers(0, 1 << 64, 256, np.uint64)  # a fixed seed: the same in every task
+        values[65:91] = values[97:123]
+        self.values = values
+        self.space = np.zeros(256, bool)
+        self.space[[32, *range(9, 14)]] = True
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def reach(self, n: int) -> None:
+        """Powers of the base and of its inverse, n of each at least."""
+        if len(self.powers) < n:
+            base = 0x9E3779B97F4A7C15
+            n = max(n, self.STEP + 1)
+            for name, v in (("powers", base), ("inverse", pow(base, -1, 1 << 64))):
+                run = np.full(n, v, np.uint64)
+                run[0] = 1
+                setattr(self, name, np.cumprod(run, dtype=np.uint64))
+
+    def chain(self, words: np.ndarray, n: int) -> np.ndarray:
+        out = np.full(len(words) - n + 1, n, np.uint64)
+        for k in range(n):
+            out = mix(out + words[k : len(words) - n + 1 + k])
+        return out
+
+    def sets(self, column: pa.Array):
+        column = column.cast(pa.large_string()).fill_null("")
+        if not len(column):
+            return
+        at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+        lo = 0
+        while lo < len(column):
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + self.STEP, side="right")) - 1)
+            yield from self.step(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+            lo = hi
+
+    def step(self, data: np.ndarray, at: np.ndarray):
+        n = len(data)
+        self.reach(n + 1)
+        space = self.space[data]
+        before, after = np.ones(n + 1, bool), np.ones(n + 1, bool)
+        before[1:], after[: max(0, n - 1)] = space, space[1:]
+        before[at[:-1]] = True
+        after[at[1:][at[1:] > 0] - 1] = True
+        begin = np.flatnonzero(~space & before[:n])
+        end = np.flatnonzero(~space & after[:n]) + 1
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.values[data] * self.powers[:n], out=sums[1:], dtype=np.uint64)
+        words = mix((sums[end] - sums[begin]) * self.inverse[begin])
+        bounds = np.searchsorted(begin, at)
+        full = self.chain(words, self.size) if len(words) >= self.size else words[:0]
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if a == b:
+                yield words[:0]
+                continue
+            s = np.sort(full[a : b - self.size + 1]) if b - a >= self.size else self.chain(words[a:b], b - a)
+            keep = np.ones(len(s), bool)
+            keep[1:] = s[1:] != s[:-1]
+            yield s[keep]
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -70,7 +120,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
-        hashes, seen, kept, held = Hashes(), set(), [], 0
+        shingler, seen, kept, held = Shingler(size), set(), [], 0
         schema = None
 
         def common():
@@ -84,8 +134,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
         for b in batches:
             schema = pa.schema([("id", b.schema[0].type), *[(c, pa.int64()) for c in ("n", "s1", "s2", "tok", "cnt")]])
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                s = shingles(text.as_py(), size, hashes)
+            for doc, s in zip(b.column(0).to_pylist(), shingler.sets(b.column(1)), strict=True):
                 sig = (len(s), int(mix(s).sum().view(np.int64)), int(mix(s ^ np.uint64(0xC2B2AE3D27D4EB4F)).sum().view(np.int64)))
                 rows.append((doc, *sig, None, None))
                 if sig not in seen and len(s):
@@ -117,11 +166,10 @@ def index(reps: DataFrame, frequent: np.ndarray, size: int, percent: int) -> Dat
     kind = reps.schema["id"].dataType.simpleString()
 
     def run(batches):
-        hashes, often = Hashes(), held.value
+        shingler, often = Shingler(size), held.value
         for b in batches:
             keys, ids, ns = [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                s = shingles(text.as_py(), size, hashes)
+            for doc, s in zip(b.column(0).to_pylist(), shingler.sets(b.column(1)), strict=True):
                 n = len(s)
                 if not n:
                     continue
@@ -152,34 +200,33 @@ def index(reps: DataFrame, frequent: np.ndarray, size: int, percent: int) -> Dat
     return reps.mapInArrow(run, f"key long, id {kind}, n long")
 
 
-def sets_of(docs: DataFrame, size: int) -> DataFrame:
-    kind = docs.schema["id"].dataType.simpleString()
-
-    def run(batches):
-        hashes = Hashes()
-        for b in batches:
-            for k in range(0, len(b), 256):
-                part = b.slice(k, 256)
-                rows = [shingles(t.as_py(), size, hashes).view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["id", "s"])
-
-    return docs.mapInArrow(run, f"id {kind}, s array<long>")
-
-
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The (a, b) of pairs whose sets link, by exact intersection."""
+    """The (a, b) of pairs whose sets link, by exact intersection.
+
+    The texts travel, as they take less room than their sets; rows come
+    sorted by a, so a's set is mostly made once.
+    """
     wanted = settle(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id"), "ngram-wanted")
-    sets = settle(sets_of(restrict(texts, wanted, "id", wanted.count()), size), "ngram-sets")
-    both = pairs.join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b").join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a")
+    some = restrict(texts, wanted, "id", wanted.count())
+    both = pairs.join(some.toDF("b", "tb"), "b").join(some.toDF("a", "ta"), "a")
 
     def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("sa"), b.column("sb"), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        shingler, last, mine = Shingler(size), None, None
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                b = batch.slice(at, 512)
+                keep, a = [], b.column("a")
+                ids = a.to_pylist()
+                fresh = [k for k, i in enumerate(ids) if (ids[k - 1] if k else last) != i]
+                sets = shingler.sets(b.column("ta").take(pa.array(fresh, pa.int64())))
+                begins = set(fresh)
+                for k, y in enumerate(shingler.sets(b.column("tb"))):
+                    if k in begins:
+                        mine = next(sets)
+                    common = len(np.intersect1d(mine, y, assume_unique=True))
+                    keep.append(100 * common >= percent * (len(mine) + len(y) - common))
+                last = ids[-1]
+                yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
     return settle(both.mapInArrow(run, f"a {kind}, b {kind}"), "ngram-links")
@@ -248,9 +295,11 @@ def near_duplicates(
     reps = settle(classes, "ngram-classes")
     rep_texts = restrict(texts, reps.select(F.col("rep").alias("id")), "id", reps.count())
     keys = settle(index(rep_texts, frequent, size, percent), "ngram-keys")
-    buckets = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    buckets = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    buckets = buckets.select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"), "m")
     rows = settle(keys.join(buckets, "key").distinct(), "ngram-buckets")
-    pivots = settle(rows.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "ngram-pivots")
+    near = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
+    pivots = settle(rows.where("id <> pivot").where(near).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "ngram-pivots")
     links = verified(pivots, texts, size, percent)
     nodes = settle(reps.select(F.col("rep").alias("id")), "ngram-nodes")
     found = settle(components(nodes, links), "ngram-components")
