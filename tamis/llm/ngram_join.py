@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import joined, restrict, settle
@@ -153,7 +153,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def index(reps: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(key, id, n): the signatures of each set.
+    """(key, id, n, often): the signatures of each set; often: made of frequent tokens.
 
     Tokens are ordered rare class first, by hash inside a class.  Two sets
     that link share two tokens among the first n - overlap + 2 of each (sets of
@@ -168,7 +168,7 @@ def index(reps: DataFrame, frequent: np.ndarray, size: int, percent: int) -> Dat
     def run(batches):
         shingler, often = Shingler(size), held.value
         for b in batches:
-            keys, ids, ns = [], [], []
+            keys, ids, ns, often_made = [], [], [], []
             for doc, s in zip(b.column(0).to_pylist(), shingler.sets(b.column(1)), strict=True):
                 n = len(s)
                 if not n:
@@ -189,15 +189,21 @@ def index(reps: DataFrame, frequent: np.ndarray, size: int, percent: int) -> Dat
                     found.append(freq)
                 k = np.concatenate(found)
                 keys.append(k)
+                often_made.append(np.arange(len(k)) >= len(rare))
                 ids += [doc] * len(k)
                 ns.append(np.full(len(k), n, np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids, b.schema[0].type), pa.array(np.concatenate(ns))],
-                    names=["key", "id", "n"],
+                    [
+                        pa.array(np.concatenate(keys).view(np.int64)),
+                        pa.array(ids, b.schema[0].type),
+                        pa.array(np.concatenate(ns)),
+                        pa.array(np.concatenate(often_made)),
+                    ],
+                    names=["key", "id", "n", "often"],
                 )
 
-    return reps.mapInArrow(run, f"key long, id {kind}, n long")
+    return reps.mapInArrow(run, f"key long, id {kind}, n long, often boolean")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -232,6 +238,17 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return settle(both.mapInArrow(run, f"a {kind}, b {kind}"), "ngram-links")
 
 
+def rare_needed(n: str, m: str, percent: int) -> Column:
+    """Rare tokens that linked sets of n and m tokens share among their prefixes, at least, if no key of frequent tokens is theirs.
+
+    The overlap they need is o; beyond the prefix a set has overlap - 2 tokens
+    left, so the prefixes share the rest of o; one of those may be frequent.
+    """
+    o = F.expr(f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}")
+    most = F.expr(f"({percent} * greatest({n}, {m}) + 99) div 100")
+    return o - F.greatest(most - 2, F.lit(0)) - 1
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable.  Alternating large-star and small-star until nothing changes."""
     edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "ngram-cc")
@@ -265,11 +282,13 @@ def near_duplicates(
 
     1. Documents with equal sets are one class, represented by its least id.
     2. Representatives are indexed (see ``index``); keys of one set alone go.
-    3. Every member of a key's bucket is verified against the bucket's least
-       id, which is linear in the bucket; buckets that lie in one component are done.
+    3. Members of a key's bucket which are likely to link with the bucket's
+       least id are verified against it, which is linear in the bucket;
+       buckets that lie in one component are done.
     4. The other buckets' members from different components are verified
-       against each other, bounded by size; a bucket beyond BLOCK members is
-       dealt out by blocks, so no task holds all of it.
+       against each other where sizes and the number of shared keys allow a
+       link; a bucket beyond BLOCK members is dealt out by blocks, so no task
+       holds all of it.
 
     Steps 3 and 4 lose no link that would join two components.
 
@@ -299,25 +318,31 @@ def near_duplicates(
     buckets = buckets.select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"), "m")
     rows = settle(keys.join(buckets, "key").distinct(), "ngram-buckets")
     near = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
-    pivots = settle(rows.where("id <> pivot").where(near).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "ngram-pivots")
+    shared = rows.where("id <> pivot").where(near).groupBy(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    shared = shared.agg(F.count_if(~F.col("often")).alias("rare"), F.max("often").alias("often"), F.first("n").alias("n"), F.first("pn").alias("pn"))
+    # a pivot may be that of a part of the shared keys alone; half of what is needed will do, as step 4 misses nothing
+    likely = F.col("often") | (2 * F.col("rare") >= rare_needed("n", "pn", percent))
+    pivots = settle(shared.where(likely).select("a", "b"), "ngram-pivots")
     links = verified(pivots, texts, size, percent)
     nodes = settle(reps.select(F.col("rep").alias("id")), "ngram-nodes")
     found = settle(components(nodes, links), "ngram-components")
     # buckets that still hold several components
     placed = rows.join(found, "id")
     open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    left = settle(placed.join(open_, "key").select("key", "id", "n", "component", "m"), "ngram-open")
+    left = settle(placed.join(open_, "key").select("key", "id", "n", "often", "component", "m"), "ngram-open")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
     # each row goes to the pairs of blocks that its block is part of: a task sees two blocks at a time
     dealt = left.withColumns({"k": mine, "blocks": blocks}).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "id", "n", "component", "k", F.least("k", "o").alias("x"), F.greatest("k", "o").alias("y"))
+    dealt = dealt.select("key", "id", "n", "often", "component", "k", F.least("k", "o").alias("x"), F.greatest("k", "o").alias("y"))
     one, two = dealt, dealt.toDF(*[f"{c}2" for c in dealt.columns])
     on = (F.col("key") == F.col("key2")) & (F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2"))
     on &= (F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2"))
     on &= (F.col("k") != F.col("k2")) | (F.col("x") == F.col("y"))
     on &= (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-    more = one.join(two, on).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    shared = one.join(two, on).groupBy(F.col("id").alias("a"), F.col("id2").alias("b"))
+    shared = shared.agg(F.count_if(~F.col("often")).alias("rare"), F.max("often").alias("often"), F.first("n").alias("n"), F.first("n2").alias("n2"))
+    more = shared.where(F.col("often") | (F.col("rare") >= rare_needed("n", "n2", percent))).select("a", "b")
     tried = pivots.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = settle(more.join(tried, ["a", "b"], "left_anti"), "ngram-more")
     if not more.isEmpty():
