@@ -12,7 +12,7 @@ from .common import joined, restrict, settle
 #: Sets that a task knows again.
 MEMORY = 500_000
 #: A token this many sets of a task share is counted for the frequent class.
-COMMON = 4
+COMMON = 2
 #: Sets that share a token at least, for it to be of the frequent class; doubled until the class fits FREQUENT_MAX.
 FREQUENT = 64
 #: Tokens of the frequent class at most (8 bytes each, sent to every task).
@@ -20,7 +20,7 @@ FREQUENT_MAX = 200_000
 #: Sets up to this size are indexed by pairs of frequent tokens; larger ones by frequent tokens alone.
 PAIRED = 300
 #: Members of a bucket whose pairs one row may list; larger buckets are cut into blocks of it.
-BLOCK = 64
+BLOCK = 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -142,7 +142,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                         seen.add(sig)
                     kept.append(s)
                     held += len(s)
-                if held >= 4_000_000:
+                if held >= 1_500_000:
                     yield common()
                     kept, held = [], 0
             yield columns(rows, schema)
