@@ -21,6 +21,8 @@ FREQUENT_MAX = 200_000
 PAIRED = 300
 #: Members of a bucket whose pairs one row may list; larger buckets are cut into blocks of it.
 BLOCK = 512
+#: Rare tokens shared by two sets that the bound on places of frequent tokens allows for; with more, rare tokens decide.
+SLACK = 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -153,7 +155,11 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def index(reps: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(key, id, n, often): the signatures of each set; often: made of frequent tokens.
+    """(key, id, n, often, place, f): the signatures of each set.
+
+    often: made of frequent tokens; place: how many tokens before the key's
+    last one are not in it (-1 for rare keys); f: frequent tokens of the
+    prefix.
 
     Tokens are ordered rare class first, by hash inside a class.  Two sets
     that link share two tokens among the first n - overlap + 2 of each (sets of
@@ -168,7 +174,7 @@ def index(reps: DataFrame, frequent: np.ndarray, size: int, percent: int) -> Dat
     def run(batches):
         shingler, often = Shingler(size), held.value
         for b in batches:
-            keys, ids, ns, often_made = [], [], [], []
+            keys, ids, ns, often_made, places, fs = [], [], [], [], [], []
             for doc, s in zip(b.column(0).to_pylist(), shingler.sets(b.column(1)), strict=True):
                 n = len(s)
                 if not n:
@@ -181,15 +187,19 @@ def index(reps: DataFrame, frequent: np.ndarray, size: int, percent: int) -> Dat
                 prefix = min(n, n - least_overlap(n, percent) + 2)
                 rare, freq = s[~is_often][:prefix], s[is_often]
                 freq = freq[: prefix - len(rare)]
-                found = [rare]
+                found, place = [rare], [np.full(len(rare), -1)]
                 if n <= PAIRED and len(freq) > 1:
                     i, j = np.triu_indices(len(freq), 1)
                     found.append(mix(mix(freq[i]) + freq[j]))
+                    place.append(len(rare) + j - 1)
                 if n > PAIRED * percent // 100 or n * percent < 100 * 2:  # may link with a larger set; may share one token alone
                     found.append(freq)
+                    place.append(len(rare) + np.arange(len(freq)))
                 k = np.concatenate(found)
                 keys.append(k)
                 often_made.append(np.arange(len(k)) >= len(rare))
+                places.append(np.concatenate(place))
+                fs.append(np.full(len(k), len(freq), np.int64))
                 ids += [doc] * len(k)
                 ns.append(np.full(len(k), n, np.int64))
             if keys:
@@ -199,11 +209,13 @@ def index(reps: DataFrame, frequent: np.ndarray, size: int, percent: int) -> Dat
                         pa.array(ids, b.schema[0].type),
                         pa.array(np.concatenate(ns)),
                         pa.array(np.concatenate(often_made)),
+                        pa.array(np.concatenate(places).astype(np.int64)),
+                        pa.array(np.concatenate(fs)),
                     ],
-                    names=["key", "id", "n", "often"],
+                    names=["key", "id", "n", "often", "place", "f"],
                 )
 
-    return reps.mapInArrow(run, f"key long, id {kind}, n long, often boolean")
+    return reps.mapInArrow(run, f"key long, id {kind}, n long, often boolean, place long, f long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -238,13 +250,18 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return settle(both.mapInArrow(run, f"a {kind}, b {kind}"), "ngram-links")
 
 
+def overlap_needed(n: str, m: str, percent: int) -> Column:
+    """Tokens that linked sets of n and m tokens share at least."""
+    return F.expr(f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}")
+
+
 def rare_needed(n: str, m: str, percent: int) -> Column:
     """Rare tokens that linked sets of n and m tokens share among their prefixes, at least, if no key of frequent tokens is theirs.
 
     The overlap they need is o; beyond the prefix a set has overlap - 2 tokens
     left, so the prefixes share the rest of o; one of those may be frequent.
     """
-    o = F.expr(f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}")
+    o = overlap_needed(n, m, percent)
     most = F.expr(f"({percent} * greatest({n}, {m}) + 99) div 100")
     return o - F.greatest(most - 2, F.lit(0)) - 1
 
@@ -286,9 +303,17 @@ def near_duplicates(
        least id are verified against it, which is linear in the bucket;
        buckets that lie in one component are done.
     4. The other buckets' members from different components are verified
-       against each other where sizes and the number of shared keys allow a
-       link; a bucket beyond BLOCK members is dealt out by blocks, so no task
-       holds all of it.
+       against each other where sizes, the places of frequent keys and the
+       number of shared rare keys allow a link; a bucket beyond BLOCK members
+       is dealt out by blocks, so no task holds all of it.
+
+    The filter of step 4 loses no link.  Let linked sets of n and m tokens
+    share o tokens, r of them rare.  If r <= SLACK, the first frequent tokens
+    they share have at least o - r - 2 shared ones behind them, so their key's
+    place is n - o + r at most, in either set: places beyond n - o + SLACK
+    need no look.  If r > SLACK, either the prefixes share at most one
+    frequent token, and rare_needed holds, or all r rare ones lie before the
+    frequent ones in both prefixes, and r + f reaches what prefixes share.
 
     Steps 3 and 4 lose no link that would join two components.
 
@@ -329,20 +354,30 @@ def near_duplicates(
     # buckets that still hold several components
     placed = rows.join(found, "id")
     open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    left = settle(placed.join(open_, "key").select("key", "id", "n", "often", "component", "m"), "ngram-open")
+    left = settle(placed.join(open_, "key").select("key", "id", "n", "often", "place", "f", "component", "m"), "ngram-open")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
     # each row goes to the pairs of blocks that its block is part of: a task sees two blocks at a time
     dealt = left.withColumns({"k": mine, "blocks": blocks}).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "id", "n", "often", "component", "k", F.least("k", "o").alias("x"), F.greatest("k", "o").alias("y"))
+    dealt = dealt.select("key", "id", "n", "often", "place", "f", "component", "k", F.least("k", "o").alias("x"), F.greatest("k", "o").alias("y"))
     one, two = dealt, dealt.toDF(*[f"{c}2" for c in dealt.columns])
     on = (F.col("key") == F.col("key2")) & (F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2"))
     on &= (F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2"))
     on &= (F.col("k") != F.col("k2")) | (F.col("x") == F.col("y"))
     on &= (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+    last = SLACK - overlap_needed("n", "n2", percent)
+    on &= (F.col("place") <= F.col("n") + last) & (F.col("place2") <= F.col("n2") + last)
     shared = one.join(two, on).groupBy(F.col("id").alias("a"), F.col("id2").alias("b"))
-    shared = shared.agg(F.count_if(~F.col("often")).alias("rare"), F.max("often").alias("often"), F.first("n").alias("n"), F.first("n2").alias("n2"))
-    more = shared.where(F.col("often") | (F.col("rare") >= rare_needed("n", "n2", percent))).select("a", "b")
+    shared = shared.agg(
+        F.count_if(~F.col("often")).alias("rare"),
+        F.max("often").alias("often"),
+        F.first("n").alias("n"),
+        F.first("n2").alias("n2"),
+        F.first(F.least("f", "f2")).alias("f"),
+    )
+    need = rare_needed("n", "n2", percent)
+    enough = F.col("often") | (F.col("rare") >= need) | ((F.col("rare") > SLACK) & (F.col("rare") + F.col("f") > need))
+    more = shared.where(enough).select("a", "b")
     tried = pivots.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = settle(more.join(tried, ["a", "b"], "left_anti"), "ngram-more")
     if not more.isEmpty():
