@@ -8,7 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ORDER = 5
@@ -19,31 +19,40 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def ngram_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, toxic, ordinary): counts of character n-grams of all words, '^' and '$' at the borders.
+    """(gram, toxic, ordinary, toxic_half, ordinary_half): counts of character n-grams of all words, '^' and '$' at the borders.
 
+    The last two count the rows that `fitted` keeps from the calibration.
     Each task sums its own grams first; labelled has columns text and toxic.
     """
 
+    names = ["gram", "toxic", "ordinary", "toxic_half", "ordinary_half"]
+
     def count(batches):
-        total: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+        total: dict[str, list[int]] = defaultdict(lambda: [0] * 4)
         for b in batches:
-            words: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-            for text, toxic in zip(b["text"], b["toxic"], strict=True):
+            words: dict[str, list[int]] = defaultdict(lambda: [0] * 4)
+            for text, toxic, half in zip(b["text"], b["toxic"], b["half"], strict=True):
                 for w in WORD.findall((text or "").lower()):
-                    words[w][toxic] += 1
-            for w, (a, t) in words.items():
+                    n = words[w]
+                    n[toxic] += 1
+                    n[2 + toxic] += half
+            for w, counts in words.items():
                 s = f"^{w}$"
                 for i in range(1, len(s)):
                     for k in range(max(0, i - order + 1), i + 1):
                         g = total[s[k : i + 1]]
-                        g[0] += a
-                        g[1] += t
-        yield pd.DataFrame([(g, t, a) for g, (a, t) in total.items()], columns=["gram", "toxic", "ordinary"])
+                        for c, v in enumerate(counts):
+                            g[c] += v
+        yield pd.DataFrame([(g, t, a, th, ah) for g, (a, t, ah, th) in total.items()], columns=names)
 
-    parts = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInPandas(
-        count, "gram string, toxic long, ordinary long"
-    )
-    return parts.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    rows = labelled.select("text", F.col("toxic").cast("int").alias("toxic"), fitted(F.col("text")).cast("int").alias("half"))
+    parts = rows.mapInPandas(count, "gram string, toxic long, ordinary long, toxic_half long, ordinary_half long")
+    return parts.groupBy("gram").agg(*[F.sum(c).alias(c) for c in names[1:]])
+
+
+def fitted(text: Column) -> Column:
+    """Whether a labelled row is counted for the calibration's model; the calibration takes the others.  Equal texts go together."""
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(2)) == 0
 
 
 class Model:
@@ -117,11 +126,19 @@ class Model:
 
 
 def train(labelled: DataFrame, order: int = ORDER) -> Model:
-    """Counts of all labelled rows (text, toxic 0/1); calibration on CALIBRATION_ROWS of them by hash order."""
+    """Counts of all labelled rows (text, toxic 0/1).
+
+    The calibration is fitted on at most CALIBRATION_ROWS rows, by hash
+    order, with a model that has not counted them.
+    """
     grams = ngram_counts(labelled, order).toPandas()
-    model = Model(list(grams.itertuples(index=False, name=None)), order)
-    some = labelled.orderBy(F.xxhash64("text")).select("text", "toxic").limit(CALIBRATION_ROWS)
-    model.calibrate([(r["text"], int(r["toxic"])) for r in some.collect()])
+    half = grams[(grams["toxic_half"] > 0) | (grams["ordinary_half"] > 0)]
+    model, apart = (
+        Model(list(g[["gram", f"toxic{c}", f"ordinary{c}"]].itertuples(index=False, name=None)), order) for g, c in ((grams, ""), (half, "_half"))
+    )
+    some = labelled.where(~fitted(F.col("text"))).orderBy(F.xxhash64("text")).select("text", "toxic").limit(CALIBRATION_ROWS)
+    apart.calibrate([(r["text"], int(r["toxic"])) for r in some.collect()])
+    model.weights = apart.weights
     return model
 
 
