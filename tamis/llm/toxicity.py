@@ -11,22 +11,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 ORDER = 5
 DISCOUNT = 0.75
+#: Grams of a class seen less often in all, and lower-order grams with fewer different characters before them, back off.
+CUTOFF = 2
+#: Probability of a character that no gram has.
+UNSEEN = 1e-4
 #: Labelled rows that the calibration (three weights) is fitted on, at most; the counts take all.
 CALIBRATION_ROWS = 8000
 WORD = re.compile(r"[^\W\d_]+")
+COUNTS = ["toxic", "ordinary", "toxic_half", "ordinary_half"]
 
 
-def ngram_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, toxic, ordinary, toxic_half, ordinary_half): counts of character n-grams of all words, '^' and '$' at the borders.
+def ngram_counts(labelled: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
+    """Counts over all words of labelled (text, toxic), '^' and '$' at the borders.
 
-    The last two count the rows that `fitted` keeps from the calibration.
-    Each task sums its own grams first; labelled has columns text and toxic.
+    First (gram, toxic, ordinary, toxic_half, ordinary_half): grams of the
+    highest order, shorter at a word's start; the last two count the rows that
+    `fitted` keeps from the calibration.  Then (gram, kinds, kinds_half):
+    different characters before each lower-order gram.  Each task sums its
+    own grams first.
     """
 
-    names = ["gram", "toxic", "ordinary", "toxic_half", "ordinary_half"]
-
     def count(batches):
         total: dict[str, list[int]] = defaultdict(lambda: [0] * 4)
         for b in batches:
@@ -34,20 +42,27 @@ def ngram_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
             for text, toxic, half in zip(b["text"], b["toxic"], b["half"], strict=True):
                 for w in WORD.findall((text or "").lower()):
                     n = words[w]
-                    n[toxic] += 1
-                    n[2 + toxic] += half
+                    n[1 - toxic] += 1
+                    n[3 - toxic] += half
             for w, counts in words.items():
                 s = f"^{w}$"
                 for i in range(1, len(s)):
-                    for k in range(max(0, i - order + 1), i + 1):
-                        g = total[s[k : i + 1]]
-                        for c, v in enumerate(counts):
-                            g[c] += v
-        yield pd.DataFrame([(g, t, a, th, ah) for g, (a, t, ah, th) in total.items()], columns=names)
+                    g = total[s[max(0, i - order + 1) : i + 1]]
+                    for c, v in enumerate(counts):
+                        g[c] += v
+            if len(total) > 400_000:  # a task's memory stays bounded
+                yield pd.DataFrame([(g, *v) for g, v in total.items()], columns=["gram", *COUNTS])
+                total.clear()
+        yield pd.DataFrame([(g, *v) for g, v in total.items()], columns=["gram", *COUNTS])
 
     rows = labelled.select("text", F.col("toxic").cast("int").alias("toxic"), fitted(F.col("text")).cast("int").alias("half"))
-    parts = rows.mapInPandas(count, "gram string, toxic long, ordinary long, toxic_half long, ordinary_half long")
-    return parts.groupBy("gram").agg(*[F.sum(c).alias(c) for c in names[1:]])
+    parts = rows.mapInPandas(count, "gram string, " + ", ".join(f"{c} long" for c in COUNTS))
+    top = settle(parts.groupBy("gram").agg(*[F.sum(c).alias(c) for c in COUNTS]), "toxicity-grams")
+    size = F.length("gram")
+    ends = F.explode(F.transform(F.sequence(F.lit(1), size), lambda k: F.substring(F.col("gram"), size - k + 1, k))).alias("gram")
+    every = top.select(ends, (F.col("toxic_half") + F.col("ordinary_half") > 0).alias("half")).groupBy("gram").agg(F.max("half").alias("half"))
+    behind = every.where(size > 1).groupBy(F.substring(F.col("gram"), F.lit(2), size).alias("gram"))
+    return top, behind.agg(F.count(F.lit(1)).alias("kinds"), F.count_if("half").alias("kinds_half"))
 
 
 def fitted(text: Column) -> Column:
@@ -55,63 +70,114 @@ def fitted(text: Column) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(2)) == 0
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def chained(strings: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Hashes of the grams that end at each character of the strings, by length from 0; each character's place; each string's end.
+
+    Grams that would reach over a string's start have no meaning.
+    """
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    ends = np.cumsum(sizes)
+    codes = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    place = np.arange(len(codes)) - np.repeat(ends - sizes, sizes)
+    out = [np.zeros(len(codes), np.uint64)]
+    for k in range(order):
+        before = np.zeros(len(codes), np.uint64)
+        before[k:] = codes[: len(codes) - k]
+        out.append(mix(out[-1] * np.uint64(0x100000001B3) + before + np.uint64(k + 1)))
+    return out, place, ends
+
+
+class Table:
+    """Numbers by 64-bit key; absent keys have zeros."""
+
+    def __init__(self, keys: np.ndarray, *numbers: np.ndarray) -> None:
+        by = np.argsort(keys)
+        self.keys, self.numbers = keys[by], [n[by].astype(np.float32) for n in numbers]
+
+    @classmethod
+    def summed(cls, keys: np.ndarray, numbers: np.ndarray) -> Table:
+        """Of positive numbers: their sum and how many there are."""
+        uniq, at = np.unique(keys[numbers > 0], return_inverse=True)
+        return cls(uniq, np.bincount(at, numbers[numbers > 0], len(uniq)), np.bincount(at, minlength=len(uniq)))
+
+    def get(self, keys: np.ndarray) -> list[np.ndarray]:
+        if not len(self.keys):
+            return [np.zeros(len(keys), np.float32) for _ in self.numbers]
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        found = self.keys[at] == keys
+        return [np.where(found, n[at], 0) for n in self.numbers]
+
+
 class Model:
-    """Two Kneser-Ney models that share all orders below the highest."""
+    """Two Kneser-Ney models that share all orders below the highest.  Grams are kept by hash, in sorted arrays."""
 
-    def __init__(self, grams: list[tuple[str, int, int]], order: int = ORDER) -> None:
+    def __init__(self, top=([], [], []), low=([], []), order: int = ORDER) -> None:
+        """top: grams, toxic and ordinary counts; low: grams, different characters before them."""
         self.order = order
-        self.top = [{}, {}]  # by class: gram -> count, then history -> (count, kinds)
-        self.hist: list[dict] = [defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])]
-        self.kinds: dict[str, int] = defaultdict(int)  # different characters before a gram
-        for g, t, a in grams:
-            self.kinds[g[1:]] += len(g) > 1
-            if len(g) == order or g[0] == "^":
-                for c, n in ((0, a), (1, t)):
-                    if n:
-                        self.top[c][g] = n
-                        h = self.hist[c][g[:-1]]
-                        h[0] += n
-                        h[1] += 1
-        self.low: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        for g, n in self.kinds.items():
-            if g and n:
-                h = self.low[g[:-1]]
-                h[0] += n
-                h[1] += 1
         self.weights = np.array([-3.0, 1.0, 1.0])
-        self.known: dict[str, float] = {}
-
-    def shared(self, g: str) -> float:
-        h = self.low.get(g[:-1])
-        below = self.shared(g[1:]) if len(g) > 1 else 1e-4
-        if not h:
-            return below
-        return (max(self.kinds.get(g, 0) - DISCOUNT, 0) + DISCOUNT * h[1] * below) / h[0]
-
-    def ratio(self, word: str) -> float:
-        """log P(word | toxic) - log P(word | ordinary)."""
-        if (v := self.known.get(word)) is None:
-            s, v = f"^{word}$", 0.0
-            for i in range(1, len(s)):
-                g = s[max(0, i - self.order + 1) : i + 1]
-                below, p = self.shared(g[1:]), [0.0, 0.0]
-                for c in (0, 1):
-                    h = self.hist[c].get(g[:-1])
-                    p[c] = (max(self.top[c].get(g, 0) - DISCOUNT, 0) + DISCOUNT * h[1] * below) / h[0] if h else below
-                v += math.log(p[1]) - math.log(p[0])
-            if len(self.known) < 300_000:  # a bound on memory; other words are computed anew
-                self.known[word] = v
-        return v
-
-    def features(self, text: str | None) -> tuple[float, float]:
-        """Log-likelihood ratio a word over the whole text, and of its most telling word."""
-        r = [self.ratio(w) for w in WORD.findall((text or "").lower())]
-        return (sum(r) / len(r), max(r)) if r else (0.0, 0.0)
+        gram, before = self.keys(top[0])
+        counts = [np.asarray(n, np.float64) for n in top[1:]]
+        self.top = Table(gram, *reversed(counts))
+        self.hist = [Table.summed(before, n) for n in reversed(counts)]
+        gram, before = self.keys(low[0])
+        kinds = np.asarray(low[1], np.float64)
+        self.kinds, self.low = Table(gram, kinds), Table.summed(before, kinds)
+
+    def keys(self, grams: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of each gram and of its history."""
+        if not len(grams):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        by, place, ends = chained(grams, self.order)
+        last = ends - 1
+        size = place[last] + 1
+        stack = np.stack(by)
+        return stack[size, last], np.where(size > 1, stack[size - 1, np.maximum(last - 1, 0)], np.uint64(0))
+
+    def ratios(self, words: list[str]) -> np.ndarray:
+        """log P(word | toxic) - log P(word | ordinary) of each word."""
+        by, place, ends = chained([f"^{w}$" for w in words], self.order)
+        before = [np.concatenate([np.zeros(1, np.uint64), h[:-1]]) for h in by]
+        below = np.full(len(place), UNSEEN)
+        for k in range(1, self.order):
+            (kinds,), (n, many) = self.kinds.get(by[k]), self.low.get(before[k - 1] if k > 1 else by[0])
+            p = (np.maximum(kinds - DISCOUNT, 0) + DISCOUNT * many * below) / np.maximum(n, 1)
+            below = np.where((n > 0) & (place >= k), p, below)
+        size = np.minimum(place + 1, self.order)
+        at = np.arange(len(place))
+        gram, history = np.stack(by)[size, at], np.stack(before)[size - 1, at]
+        logs = []
+        for count, table in zip(self.top.get(gram), self.hist, strict=True):
+            n, many = table.get(history)
+            p = (np.maximum(count - DISCOUNT, 0) + DISCOUNT * many * below) / np.maximum(n, 1)
+            logs.append(np.log(np.where(n > 0, p, below)))
+        steps = np.where(place > 0, logs[1] - logs[0], 0.0)
+        return np.add.reduceat(steps, np.concatenate([[0], ends[:-1]]))
+
+    def features(self, texts, known: dict[str, float]) -> np.ndarray:
+        """(1, log-likelihood ratio a word over the whole text, that of its most telling word) of each text."""
+        split = [WORD.findall((t or "").lower()) for t in texts]
+        new = list({w for ws in split for w in ws if w not in known})
+        if len(known) + len(new) > 300_000:  # a bound on memory; words are computed anew
+            known.clear()
+            new = list({w for ws in split for w in ws})
+        for lo in range(0, len(new), 20_000):
+            part = new[lo : lo + 20_000]
+            known.update(zip(part, self.ratios(part).tolist(), strict=True))
+        out = np.zeros((len(split), 3))
+        for i, ws in enumerate(split):
+            r = [known[w] for w in ws]
+            out[i] = (1.0, sum(r) / len(r), max(r)) if r else (1.0, 0.0, 0.0)
+        return out
 
     def calibrate(self, rows: list[tuple[str, int]]) -> None:
         if not rows:
             return
-        x = np.array([(1.0, *self.features(t)) for t, _ in rows])
+        x = self.features([t for t, _ in rows], {})
         y = np.array([v for _, v in rows], dtype=float)
         w = np.zeros(3)
         for _ in range(50):  # Newton steps of a ridge-penalised logistic regression
@@ -120,9 +186,9 @@ class Model:
             w += np.linalg.solve(h, x.T @ (y - p) - 1e-2 * w)
         self.weights = w
 
-    def score(self, text: str | None) -> float:
-        z = float(np.dot(self.weights, (1.0, *self.features(text))))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+    def scores(self, texts, known: dict[str, float]) -> np.ndarray:
+        z = self.features(texts, known) @ self.weights
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def train(labelled: DataFrame, order: int = ORDER) -> Model:
@@ -131,13 +197,13 @@ def train(labelled: DataFrame, order: int = ORDER) -> Model:
     The calibration is fitted on at most CALIBRATION_ROWS rows, by hash
     order, with a model that has not counted them.
     """
-    grams = ngram_counts(labelled, order).toPandas()
-    half = grams[(grams["toxic_half"] > 0) | (grams["ordinary_half"] > 0)]
-    model, apart = (
-        Model(list(g[["gram", f"toxic{c}", f"ordinary{c}"]].itertuples(index=False, name=None)), order) for g, c in ((grams, ""), (half, "_half"))
-    )
+    top, low = ngram_counts(labelled, order)
+    top = top.where(F.col("toxic") + F.col("ordinary") >= CUTOFF).toArrow().to_pydict()
+    low = low.where(F.col("kinds") >= CUTOFF).toArrow().to_pydict()
+    apart = Model((top["gram"], top["toxic_half"], top["ordinary_half"]), (low["gram"], low["kinds_half"]), order)
     some = labelled.where(~fitted(F.col("text"))).orderBy(F.xxhash64("text")).select("text", "toxic").limit(CALIBRATION_ROWS)
     apart.calibrate([(r["text"], int(r["toxic"])) for r in some.collect()])
+    model = Model((top["gram"], top["toxic"], top["ordinary"]), (low["gram"], low["kinds"]), order)
     model.weights = apart.weights
     return model
 
@@ -148,16 +214,12 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     Null and wordless texts get the score of no evidence; repeated rows come
     out again; an empty table gives an empty result; other columns are ignored.
     """
-    held = docs.sparkSession.sparkContext.broadcast(
-        (dict(model.known), model.order, model.top, [dict(h) for h in model.hist], dict(model.kinds), dict(model.low), model.weights)
-    )
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = Model([])
-        m.known, m.order, m.top, m.hist, m.kinds, m.low, m.weights = held.value
-        m.known = dict(m.known)
+        known: dict[str, float] = {}
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "score": [m.score(t) for t in b["text"]]})
+            yield pd.DataFrame({"id": b["id"], "score": held.value.scores(b["text"], known)})
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

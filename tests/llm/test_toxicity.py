@@ -5,7 +5,7 @@ ROWS = [(f"calm words here {i}", 0) for i in range(20)] + [(f"calm grubful words
 
 def test_counts_and_scores(spark):
     labelled = spark.createDataFrame([*ROWS, (None, 0), ("", 1)], "text string, toxic int")
-    grams = {r.gram: (r.toxic, r.ordinary) for r in ngram_counts(labelled).collect()}
+    grams = {r.gram: (r.toxic, r.ordinary) for r in ngram_counts(labelled)[0].collect()}
     assert grams["^calm"] == (20, 20) and grams["^grub"] == (20, 0)
     docs = [(1, "grubful grubby calm", "x"), (2, "calm words", None), (3, None, "x"), (4, "", "x")]
     got = {r.doc_id: r.score for r in toxicity(spark.createDataFrame(docs, "doc_id long, text string, score string"), train(labelled)).collect()}
@@ -13,4 +13,4 @@ def test_counts_and_scores(spark):
 
 
 def test_no_counts_give_no_evidence():
-    assert Model([]).features("anything at all") == (0.0, 0.0)
+    assert Model().features(["anything at all"], {}).tolist() == [[1.0, 0.0, 0.0]]
