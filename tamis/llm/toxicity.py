@@ -174,11 +174,10 @@ class Model:
             out[i] = (1.0, sum(r) / len(r), max(r)) if r else (1.0, 0.0, 0.0)
         return out
 
-    def calibrate(self, rows: list[tuple[str, int]]) -> None:
-        if not rows:
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Fits the weights to features x and labels y."""
+        if not len(y):
             return
-        x = self.features([t for t, _ in rows], {})
-        y = np.array([v for _, v in rows], dtype=float)
         w = np.zeros(3)
         for _ in range(50):  # Newton steps of a ridge-penalised logistic regression
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -201,8 +200,19 @@ def train(labelled: DataFrame, order: int = ORDER) -> Model:
     top = top.where(F.col("toxic") + F.col("ordinary") >= CUTOFF).toArrow().to_pydict()
     low = low.where(F.col("kinds") >= CUTOFF).toArrow().to_pydict()
     apart = Model((top["gram"], top["toxic_half"], top["ordinary_half"]), (low["gram"], low["kinds_half"]), order)
-    some = labelled.where(~fitted(F.col("text"))).orderBy(F.xxhash64("text")).select("text", "toxic").limit(CALIBRATION_ROWS)
-    apart.calibrate([(r["text"], int(r["toxic"])) for r in some.collect()])
+    rows = labelled.where(~fitted(F.col("text"))).select(F.xxhash64("text").alias("h"), "text", F.col("toxic").cast("int").alias("toxic"))
+    held = labelled.sparkSession.sparkContext.broadcast(apart)
+
+    def run(batches):
+        known: dict[str, float] = {}
+        for b in batches:
+            x = held.value.features(b["text"], known)
+            yield pd.DataFrame({"h": b["h"], "mean": x[:, 1], "most": x[:, 2], "toxic": b["toxic"]})
+
+    # features, not texts, go to the driver
+    some = rows.mapInPandas(run, "h long, mean double, most double, toxic int").orderBy("h", "mean", "most", "toxic").limit(CALIBRATION_ROWS)
+    some = some.toPandas()
+    apart.calibrate(np.column_stack([np.ones(len(some)), some["mean"], some["most"]]), some["toxic"].to_numpy(float))
     model = Model((top["gram"], top["toxic"], top["ordinary"]), (low["gram"], low["kinds"]), order)
     model.weights = apart.weights
     return model
