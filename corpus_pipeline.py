@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tamis.llm import toxicity as tox
-from tamis.llm.common import settle
+from tamis.llm.common import settle, without
 from tamis.llm.decontam import contamination
 from tamis.llm.exact_dedup import drop_duplicates_exact
 from tamis.llm.ngram_join import drop_near_duplicates
@@ -13,15 +13,21 @@ from tamis.llm.packing import pack_documents
 from tamis.llm.queries import TOXIC_FROM, toxic_model
 
 
+def by_text(docs):
+    """docs with a key of the text: what a stage finds out depends on the text alone, and ids may be null or repeat."""
+    return docs.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
 def toxicity(spark, docs, sf_dir):
     """Documents that score below the threshold stay; the model learns from the labels of the training folds."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    scores = tox.toxicity(docs, toxic_model(docs, labels)).where(F.col("score") >= TOXIC_FROM)
-    return docs.join(scores.select("doc_id").distinct(), "doc_id", "left_anti")
+    keyed = by_text(docs)
+    scores = tox.toxicity(keyed, toxic_model(docs, labels), "key").where(F.col("score") >= TOXIC_FROM)
+    return without(keyed, scores.select("key").distinct(), "key").drop("key")
 
 
 def exact_dedup(spark, docs, sf_dir):
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts one row with the largest doc_id stays."""
     return drop_duplicates_exact(docs)
 
 
@@ -33,8 +39,9 @@ def near_dedup(spark, docs, sf_dir):
 def decontamination(spark, docs, sf_dir):
     """Documents in which a window of a benchmark item occurs go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    hit = contamination(docs, items).where("n_hit > 0").select("doc_id")
-    return docs.join(hit.distinct(), "doc_id", "left_anti")
+    keyed = by_text(docs)
+    hit = contamination(keyed, items, "key").where("n_hit > 0").select("key")
+    return without(keyed, hit.distinct(), "key").drop("key")
 
 
 def packing(spark, docs, sf_dir):

@@ -68,6 +68,26 @@ def restrict(df: DataFrame, keys: DataFrame, on: str, n_keys: int) -> DataFrame:
     return joined(df, F.broadcast(side) if n_keys <= BROADCAST_KEYS else side, [on], "left_semi")
 
 
+def without(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows of df whose `on` isn't in keys (distinct); broadcast as in `restrict`."""
+    side = settle(keys.select(on), "without")
+    return joined(df, F.broadcast(side) if side.count() <= BROADCAST_KEYS else side, [on], "left_anti")
+
+
+def one_of_each(df: DataFrame, judged: DataFrame, key: str, id_col: str) -> DataFrame:
+    """Rows of df whose key isn't judged and, of each group in judged (key, win, id, copies), one row with key win and that id.
+
+    Ids are compared null-safely; where the winner has several copies, one stays.
+    """
+    side = judged.toDF("__j_key", "__j_win", "__j_id", "__j_copies")
+    side = F.broadcast(side) if judged.count() <= BROADCAST_KEYS // 4 else side
+    both = df.join(side, F.col(key) == F.col("__j_key"), "left")
+    both = both.where(F.col("__j_key").isNull() | ((F.col(key) == F.col("__j_win")) & F.col(id_col).eqNullSafe(F.col("__j_id"))))
+    if not judged.where("copies > 1").isEmpty():
+        both = both.where("coalesce(__j_copies, 1) = 1").union(both.where("__j_copies > 1").dropDuplicates([key]))
+    return both.select(*df.columns)
+
+
 def sampled(rows: DataFrame, id_col: str, limit: int) -> DataFrame:
     """At most `limit` ids' rows, chosen by a hash of the id: a bounded sample for fitting."""
     order = F.xxhash64(F.col(id_col).cast("string"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, restrict, settle
+from .common import joined, one_of_each, restrict, settle
 
 #: Sets that a task knows again.
 MEMORY = 500_000
@@ -392,6 +392,18 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component stays: the one with the least id."""
-    gone = near_duplicates(docs, id_col, text_col, size, percent).where(F.col(id_col) != F.col("component_id")).select(id_col)
-    return docs.join(gone.distinct(), id_col, "left_anti")
+    """One document of each component stays: a row with the least id (null ids come last).
+
+    Rows are told by the hash of their texts, so null and repeated ids go the
+    same way; rows with empty sets all stay.
+    """
+    every, text = F.struct(*[docs[c] for c in docs.columns]).alias("__all"), docs[text_col].alias("text")
+    keyed = docs.select(every, docs[id_col].alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("__key"))
+    found = near_duplicates(docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("__key"), text), "__key", "text", size, percent)
+    found = found.where("n_shingles > 0")
+    found = settle(found.select("__key", "component_id").distinct(), "ngram-found")
+    same = keyed.groupBy("__key", "id").agg(F.count(F.lit(1)).alias("copies"))
+    least = F.min(F.struct(F.col("id").isNull().alias("nil"), "id", "__key", "copies")).alias("w")
+    best = same.join(found, "__key").groupBy("component_id").agg(least, F.sum("copies").alias("n")).where("n > 1")
+    judged = found.join(best, "component_id").select("__key", F.col("w.__key").alias("win"), F.col("w.id").alias("id"), F.col("w.copies").alias("copies"))
+    return one_of_each(keyed, settle(judged, "ngram-judged"), "__key", "id").select("__all.*")

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import language_id, quality
-from .common import joined
 from .decontam import contamination
-from .exact_dedup import exact_dedup, text_digest
+from .exact_dedup import exact_dedup
 from .license_scan import licences
 from .ngram_join import near_duplicates
 from .packing import pack_documents
@@ -18,7 +17,8 @@ from .toxicity import toxicity, train
 
 def op5_exact_dedup(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return joined(exact_dedup(docs), text_digest(docs), ["doc_id"], "inner")
+    kept = F.col("doc_id") == F.col("keep_id")  # as in the SQL: every copy with the largest id, and null for a null id
+    return exact_dedup(docs, digest=True).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def op7_sharding(spark, sf_dir):

@@ -1,8 +1,10 @@
 from collections import Counter
+from hashlib import sha256
 
 from tamis.llm.decontam import contamination
-from tamis.llm.exact_dedup import exact_dedup
+from tamis.llm.exact_dedup import drop_duplicates_exact, exact_dedup
 from tamis.llm.license_scan import licences
+from tamis.llm.ngram_join import drop_near_duplicates
 from tamis.llm.sharding import fill, shard_rows
 
 SCHEMA = "doc_id long, text string, __len string"
@@ -47,3 +49,24 @@ def test_licences(spark):
     docs = [(1, "Foo bar.\nReleased under the MIT License.\nX. All rights reserved."), (2, None), (3, "mit license")]
     got = {r.doc_id: r.licences for r in licences(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {1: "MIT,Proprietary", 2: "", 3: ""}
+
+
+def test_exact_dedup_counts_rows_and_keeps_one(spark):
+    rows = [(1, "a", "x"), (1, "A", "y"), (2, "b", "x"), (2, "c", "x"), (None, "n", "x"), (None, "n", "x"), (None, "B", "x"), (9, "q", "x"), (9, "q", "x"), (3, "q", "x")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = exact_dedup(docs, digest=True).collect()
+    want = Counter({(1, 1, 2): 2, (2, 2, 2): 1, (2, 2, 1): 1, (None, None, 2): 2, (None, 2, 2): 1, (9, 9, 3): 2, (3, 9, 3): 1})
+    assert Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == want
+    assert Counter(r.text_sha256 for r in got if r.kept) == Counter(sha256(t.encode()).hexdigest() for t in "abcnq")
+    left = drop_duplicates_exact(docs).collect()
+    assert Counter((r.doc_id, r.text.lower()) for r in left) == Counter([(1, "a"), (2, "b"), (2, "c"), (None, "n"), (9, "q")])
+    assert left[0].asDict().keys() == {"doc_id", "text", "__len"} and drop_duplicates_exact(docs.limit(0)).count() == 0
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, long), (None, long + " z"), (5, long + " y"), (5, "other words that stand quite alone here"), (7, None), (7, ""), (8, long), (8, long)]
+    left = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in left) == Counter([rows[2], rows[3], rows[4], rows[5]])
+    left = drop_near_duplicates(spark.createDataFrame([rows[0], rows[1], rows[0]], "doc_id long, text string")).collect()
+    assert len(left) == 1
