@@ -15,8 +15,6 @@ from .common import settle
 
 ORDER = 5
 DISCOUNT = 0.75
-#: Grams of a class seen less often in all, and lower-order grams with fewer different characters before them, back off.
-CUTOFF = 2
 #: Probability of a character that no gram has.
 UNSEEN = 1e-4
 #: Labelled rows that the calibration (three weights) is fitted on, at most; the counts take all.
@@ -92,6 +90,31 @@ def chained(strings: list[str], order: int) -> tuple[list[np.ndarray], np.ndarra
     return out, place, ends
 
 
+def gram_keys(grams: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each gram and of its history."""
+    if not len(grams):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    by, place, ends = chained(grams, order)
+    last = ends - 1
+    size = place[last] + 1
+    stack = np.stack(by)
+    return stack[size, last], np.where(size > 1, stack[size - 1, np.maximum(last - 1, 0)], np.uint64(0))
+
+
+def hashed(grams: DataFrame, order: int) -> dict[str, np.ndarray]:
+    """All rows of (gram, numbers) as arrays: key, before and the numbers.  Tasks hash; no string goes to the driver."""
+    numbers = [c for c in grams.columns if c != "gram"]
+
+    def run(batches):
+        for b in batches:
+            key, before = gram_keys(b["gram"].tolist(), order)
+            yield pd.DataFrame({"key": key.view(np.int64), "before": before.view(np.int64), **{c: b[c] for c in numbers}})
+
+    table = grams.mapInPandas(run, ", ".join(f"{c} long" for c in ("key", "before", *numbers))).toArrow()
+    out = {c: table[c].to_numpy() for c in table.column_names}
+    return out | {c: out[c].view(np.uint64) for c in ("key", "before")}
+
+
 class Table:
     """Numbers by 64-bit key; absent keys have zeros."""
 
@@ -116,28 +139,18 @@ class Table:
 class Model:
     """Two Kneser-Ney models that share all orders below the highest.  Grams are kept by hash, in sorted arrays."""
 
-    def __init__(self, top=([], [], []), low=([], []), order: int = ORDER) -> None:
-        """top: grams, toxic and ordinary counts; low: grams, different characters before them."""
+    def __init__(self, top=((), (), (), ()), low=((), (), ()), order: int = ORDER) -> None:
+        """top: hashes of grams and of their histories, toxic and ordinary counts; low: hashes, different characters before the grams."""
         self.order = order
         self.weights = np.array([-3.0, 1.0, 1.0])
-        gram, before = self.keys(top[0])
-        counts = [np.asarray(n, np.float64) for n in top[1:]]
+        gram, before = (np.asarray(k, np.uint64) for k in top[:2])
+        counts = [np.asarray(n, np.float64) for n in top[2:]]
         self.top = Table(gram, *reversed(counts))
         self.hist = [Table.summed(before, n) for n in reversed(counts)]
-        gram, before = self.keys(low[0])
-        kinds = np.asarray(low[1], np.float64)
+        gram, before = (np.asarray(k, np.uint64) for k in low[:2])
+        kinds = np.asarray(low[2], np.float64)
         self.kinds, self.low = Table(gram, kinds), Table.summed(before, kinds)
 
-    def keys(self, grams: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of each gram and of its history."""
-        if not len(grams):
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        by, place, ends = chained(grams, self.order)
-        last = ends - 1
-        size = place[last] + 1
-        stack = np.stack(by)
-        return stack[size, last], np.where(size > 1, stack[size - 1, np.maximum(last - 1, 0)], np.uint64(0))
-
     def ratios(self, words: list[str]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary) of each word."""
         by, place, ends = chained([f"^{w}$" for w in words], self.order)
@@ -191,15 +204,18 @@ class Model:
 
 
 def train(labelled: DataFrame, order: int = ORDER) -> Model:
-    """Counts of all labelled rows (text, toxic 0/1).
+    """Counts of all labelled rows (text, toxic 0/1); every gram is kept, seen once or not.
 
     The calibration is fitted on at most CALIBRATION_ROWS rows, by hash
     order, with a model that has not counted them.
     """
     top, low = ngram_counts(labelled, order)
-    top = top.where(F.col("toxic") + F.col("ordinary") >= CUTOFF).toArrow().to_pydict()
-    low = low.where(F.col("kinds") >= CUTOFF).toArrow().to_pydict()
-    apart = Model((top["gram"], top["toxic_half"], top["ordinary_half"]), (low["gram"], low["kinds_half"]), order)
+    top, low = hashed(top, order), hashed(low, order)
+
+    def model_of(end: str) -> Model:
+        return Model(tuple(top[c] for c in ("key", "before", f"toxic{end}", f"ordinary{end}")), tuple(low[c] for c in ("key", "before", f"kinds{end}")), order)
+
+    apart = model_of("_half")
     rows = labelled.where(~fitted(F.col("text"))).select(F.xxhash64("text").alias("h"), "text", F.col("toxic").cast("int").alias("toxic"))
     held = labelled.sparkSession.sparkContext.broadcast(apart)
 
@@ -213,7 +229,7 @@ def train(labelled: DataFrame, order: int = ORDER) -> Model:
     some = rows.mapInPandas(run, "h long, mean double, most double, toxic int").orderBy("h", "mean", "most", "toxic").limit(CALIBRATION_ROWS)
     some = some.toPandas()
     apart.calibrate(np.column_stack([np.ones(len(some)), some["mean"], some["most"]]), some["toxic"].to_numpy(float))
-    model = Model((top["gram"], top["toxic"], top["ordinary"]), (low["gram"], low["kinds"]), order)
+    model = model_of("")
     model.weights = apart.weights
     return model
 

@@ -14,3 +14,9 @@ def test_counts_and_scores(spark):
 
 def test_no_counts_give_no_evidence():
     assert Model().features(["anything at all"], {}).tolist() == [[1.0, 0.0, 0.0]]
+
+
+def test_a_word_labelled_once_tells(spark):
+    labelled = spark.createDataFrame([*ROWS, ("calm zyxvut words", 1), ("calm qomfed words", 0)], "text string, toxic int")
+    toxic, ordinary = train(labelled).ratios(["zyxvut", "qomfed"])
+    assert toxic > 3 and ordinary < -3
