@@ -1,9 +1,11 @@
 from collections import Counter
 from hashlib import sha256
 
+from pyspark.sql import functions as F
+
 from tamis.llm.decontam import contamination
 from tamis.llm.exact_dedup import drop_duplicates_exact, exact_dedup
-from tamis.llm.license_scan import licences
+from tamis.llm.license_scan import MARKS, SENTENCES, licences
 from tamis.llm.ngram_join import drop_near_duplicates
 from tamis.llm.sharding import fill, shard_rows
 
@@ -70,3 +72,42 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert Counter((r.doc_id, r.text) for r in left) == Counter([rows[2], rows[3], rows[4], rows[5]])
     left = drop_near_duplicates(spark.createDataFrame([rows[0], rows[1], rows[0]], "doc_id long, text string")).collect()
     assert len(left) == 1
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+associated documentation files (the "Software"), to deal in the Software without restriction, including ...
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, ..."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+%sTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, ..."""
+THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission.\n"""
+GNU = """you can redistribute it and/or modify it under the terms of the GNU %sGeneral Public License as published by
+# the Free Software Foundation, either version %s of the License, or (at your option) any later version."""
+
+
+def test_licence_texts(spark):
+    want = {
+        "This file is released under the MIT license.": "MIT",
+        "prose\n" + MIT: "MIT",
+        MIT.partition("THE SOFTWARE IS")[0]: "",
+        BSD % "": "BSD-2-Clause",
+        BSD % THIRD: "BSD-3-Clause",
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES": "ISC",
+        GNU % ("", "2"): "GPL-2.0",
+        GNU % ("", "3"): "GPL-3.0",
+        GNU % ("Lesser ", "2.1"): "LGPL-2.1",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "MPL-2.0",
+        "# SPDX-License-Identifier: (MIT OR GPL-2.0-or-later)\nprose": "MIT,GPL-2.0",
+        "licensed under a Creative Commons Attribution-ShareAlike 4.0 International Licence.": "CC-BY-SA-4.0",
+        "It is distributed under the terms of the Apache License 2.0": "Apache-2.0",
+        "a driving license and the permission to copy": "",
+    }
+    docs = spark.createDataFrame(list(want), "string").toDF("text").withColumn("doc_id", F.col("text"))
+    assert {r.doc_id: r.licences for r in licences(docs).collect()} == want
+    assert all(any(m in p for m in MARKS) for p in SENTENCES)
