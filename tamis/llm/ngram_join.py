@@ -7,103 +7,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, one_of_each, restrict, settle
+from .common import BROADCAST_KEYS, joined, one_of_each, restrict, settle
+from .words import Shingler, mix
 
-#: Sets that a task knows again.
+#: Sets that a task knows again (equal ones count once there, which saves work only).
 MEMORY = 500_000
-#: A token this many sets of a task share is counted for the frequent class.
-COMMON = 2
-#: Sets that share a token at least, for it to be of the frequent class; doubled until the class fits FREQUENT_MAX.
+#: Tokens that a task holds before it hands their counts on.
+HELD = 1_500_000
+#: Tokens of one bin of the counts (expected): what a task that sums a bin holds.
+BIN = 1 << 22
+#: A token is frequent if so many sets have it ...
 FREQUENT = 64
-#: Tokens of the frequent class at most (8 bytes each, sent to every task).
-FREQUENT_MAX = 200_000
+#: ... and if it is more than one in this many of all tokens.  So no more are frequent than this: 16 MB to every task.
+FREQUENT_SHARE = 2_000_000
 #: Sets up to this size are indexed by pairs of frequent tokens; larger ones by frequent tokens alone.
 PAIRED = 300
-#: Members of a bucket whose pairs one row may list; larger buckets are cut into blocks of it.
-BLOCK = 512
+#: Buckets of more members are compared by blocks instead of row by row.
+SMALL = 8
+#: Members of a block.
+BLOCK = 256
 #: Rare tokens shared by two sets that the bound on places of frequent tokens allows for; with more, rare tokens decide.
 SLACK = 1
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
-
-
-class Shingler:
-    """Sets of word shingles of whole Arrow columns, as sorted distinct 64-bit hashes.
-
-    ASCII white space parts words and A-Z are lower-cased.  A word's hash is
-    that of its bytes under a polynomial modulo 2^64 with random byte values,
-    taken from running sums over a run of documents, so no word is handled
-    alone.
-    """
-
-    #: Bytes of text that one vectorised step takes (a longer document is a step of its own).
-    STEP = 1 << 20
-
-    def __init__(self, size: int) -> None:
-        self.size = size
-        values = np.random.default_rng(20_011).integers(0, 1 << 64, 256, np.uint64)  # a fixed seed: the same in every task
-        values[65:91] = values[97:123]
-        self.values = values
-        self.space = np.zeros(256, bool)
-        self.space[[32, *range(9, 14)]] = True
-        self.powers = self.inverse = np.ones(1, np.uint64)
-
-    def reach(self, n: int) -> None:
-        """Powers of the base and of its inverse, n of each at least."""
-        if len(self.powers) < n:
-            base = 0x9E3779B97F4A7C15
-            n = max(n, self.STEP + 1)
-            for name, v in (("powers", base), ("inverse", pow(base, -1, 1 << 64))):
-                run = np.full(n, v, np.uint64)
-                run[0] = 1
-                setattr(self, name, np.cumprod(run, dtype=np.uint64))
-
-    def chain(self, words: np.ndarray, n: int) -> np.ndarray:
-        out = np.full(len(words) - n + 1, n, np.uint64)
-        for k in range(n):
-            out = mix(out + words[k : len(words) - n + 1 + k])
-        return out
-
-    def sets(self, column: pa.Array):
-        column = column.cast(pa.large_string()).fill_null("")
-        if not len(column):
-            return
-        at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-        lo = 0
-        while lo < len(column):
-            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + self.STEP, side="right")) - 1)
-            yield from self.step(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
-            lo = hi
-
-    def step(self, data: np.ndarray, at: np.ndarray):
-        n = len(data)
-        self.reach(n + 1)
-        space = self.space[data]
-        before, after = np.ones(n + 1, bool), np.ones(n + 1, bool)
-        before[1:], after[: max(0, n - 1)] = space, space[1:]
-        before[at[:-1]] = True
-        after[at[1:][at[1:] > 0] - 1] = True
-        begin = np.flatnonzero(~space & before[:n])
-        end = np.flatnonzero(~space & after[:n]) + 1
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.values[data] * self.powers[:n], out=sums[1:], dtype=np.uint64)
-        words = mix((sums[end] - sums[begin]) * self.inverse[begin])
-        bounds = np.searchsorted(begin, at)
-        full = self.chain(words, self.size) if len(words) >= self.size else words[:0]
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if a == b:
-                yield words[:0]
-                continue
-            s = np.sort(full[a : b - self.size + 1]) if b - a >= self.size else self.chain(words[a:b], b - a)
-            keep = np.ones(len(s), bool)
-            keep[1:] = s[1:] != s[:-1]
-            yield s[keep]
-
-
 def least_overlap(n: int, percent: int) -> int:
     """Tokens that a set of n shares with any partner at least."""
     return -(-percent * n // 100)
@@ -114,10 +40,11 @@ def columns(rows: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n, s1, s2) of each row: size of its set and two independent sums over it; (tok, cnt): tokens that recur in a task.
+def signatures(docs: DataFrame, size: int, bits: int) -> DataFrame:
+    """(id, n, s1, s2) of each row: size of its set and two independent sums over it; (bin, toks, cnts): all tokens, counted.
 
-    Sets that a task has seen already add nothing to the counts.
+    A token's first `bits` bits are its bin, the next 32 are kept: tokens that
+    share them are counted as one, which can only make a rare token frequent.
     """
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -125,36 +52,53 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
         shingler, seen, kept, held = Shingler(size), set(), [], 0
         schema = None
 
-        def common():
-            tok, cnt = np.unique(np.concatenate(kept), return_counts=True)
-            many = cnt >= COMMON
-            return pa.RecordBatch.from_arrays(
-                [pa.nulls(many.sum(), f.type) for f in list(schema)[:4]] + [pa.array(tok[many].view(np.int64)), pa.array(cnt[many])],
-                schema=schema,
-            )
+        def counted():
+            tok, cnt = np.unique(np.concatenate(kept) >> np.uint64(32 - bits), return_counts=True)
+            at = np.searchsorted(tok >> np.uint64(32), np.arange((1 << bits) + 1, dtype=np.uint64))
+            spans = [(k, a, b) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if a < b]
+            low, cnt = (tok & np.uint64(0xFFFFFFFF)).astype("<u4"), cnt.astype("<u4")
+            return columns([(None, None, None, None, k, low[a:b].tobytes(), cnt[a:b].tobytes()) for k, a, b in spans], schema)
 
         for b in batches:
-            schema = pa.schema([("id", b.schema[0].type), *[(c, pa.int64()) for c in ("n", "s1", "s2", "tok", "cnt")]])
+            ints = [(c, pa.int64()) for c in ("n", "s1", "s2", "bin")]
+            schema = pa.schema([("id", b.schema[0].type), *ints, ("toks", pa.binary()), ("cnts", pa.binary())])
             rows = []
             for doc, s in zip(b.column(0).to_pylist(), shingler.sets(b.column(1)), strict=True):
                 sig = (len(s), int(mix(s).sum().view(np.int64)), int(mix(s ^ np.uint64(0xC2B2AE3D27D4EB4F)).sum().view(np.int64)))
-                rows.append((doc, *sig, None, None))
+                rows.append((doc, *sig, None, None, None))
                 if sig not in seen and len(s):
                     if len(seen) < MEMORY:
                         seen.add(sig)
                     kept.append(s)
                     held += len(s)
-                if held >= 1_500_000:
-                    yield common()
+                if held >= HELD:
+                    yield counted()
                     kept, held = [], 0
             yield columns(rows, schema)
         if kept:
-            yield common()
+            yield counted()
 
-    return docs.mapInArrow(run, f"id {kind}, n long, s1 long, s2 long, tok long, cnt long")
+    return docs.mapInArrow(run, f"id {kind}, n long, s1 long, s2 long, bin long, toks binary, cnts binary")
 
 
-def index(reps: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
+def frequent_tokens(counts: DataFrame, least: int) -> np.ndarray:
+    """The tokens (bin and kept bits) that at least `least` sets have, from exact sums over all tasks."""
+
+    def total(key, table):
+        toks = np.concatenate([np.frombuffer(t, "<u4") for t in table["toks"].to_pylist()])
+        cnts = np.concatenate([np.frombuffer(c, "<u4") for c in table["cnts"].to_pylist()])
+        by = np.argsort(toks, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], toks[by][1:] != toks[by][:-1]]))
+        many = np.add.reduceat(cnts[by].astype(np.int64), first) >= least
+        found = (int(key[0].as_py()) << 32) | toks[by][first][many].astype(np.int64)
+        return pa.table({"tok": pa.array(found, pa.int64())})
+
+    # at most FREQUENT_SHARE rows of 8 bytes
+    found = counts.groupBy("bin").applyInArrow(total, "tok long").toArrow()["tok"].to_numpy()
+    return np.sort(found.astype(np.uint64))
+
+
+def index(reps: DataFrame, frequent: np.ndarray, bits: int, size: int, percent: int) -> DataFrame:
     """(key, id, n, often, place, f): the signatures of each set.
 
     often: made of frequent tokens; place: how many tokens before the key's
@@ -180,8 +124,9 @@ def index(reps: DataFrame, frequent: np.ndarray, size: int, percent: int) -> Dat
                 if not n:
                     continue
                 if len(often):
-                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    is_often = often[at] == s
+                    short = s >> np.uint64(32 - bits)
+                    at = np.minimum(np.searchsorted(often, short), len(often) - 1)
+                    is_often = often[at] == short
                 else:
                     is_often = np.zeros(n, bool)
                 prefix = min(n, n - least_overlap(n, percent) + 2)
@@ -292,22 +237,118 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def linked(x: list[np.ndarray], y: list[np.ndarray] | None, percent: int) -> np.ndarray:
+    """Whether sets link, for each of x and each of y (None: x itself, pairs above the diagonal).
+
+    Tokens that only one of the sets has can't be shared and are left out; the
+    others' incidence is multiplied in bounded slices of tokens.
+    """
+    every = x if y is None else x + y
+    size = np.array([len(s) for s in every], float)
+    owner = np.repeat(np.arange(len(every)), size.astype(int))
+    toks = np.concatenate(every) if every else np.zeros(0, np.uint64)
+    by = np.argsort(toks, kind="stable")
+    toks, owner = toks[by], owner[by]
+    fresh = np.concatenate([[True], toks[1:] != toks[:-1]]) if len(toks) else np.zeros(0, bool)
+    col = np.cumsum(fresh) - 1
+    shared = np.bincount(col)[col] > 1 if len(col) else fresh
+    col, owner = np.unique(col[shared], return_inverse=True)[1], owner[shared]
+    a, b = (len(x), len(x)) if y is None else (len(x), len(y))
+    both = np.zeros((a, b), np.float32)
+    width = 8192
+    ends = np.searchsorted(col, np.arange(0, (int(col[-1]) if len(col) else -1) + width + 1, width))
+    for k, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        m = np.zeros((len(every), width), np.float32)  # counts below 2^24: exact
+        m[owner[lo:hi], col[lo:hi] - k * width] = 1
+        both += m[:a] @ (m if y is None else m[a:]).T
+    sizes = size[:a, None] + (size if y is None else size[a:])[None, :]
+    hit = 100 * both >= percent * (sizes - both)
+    return np.triu(hit, 1) if y is None else hit
+
+
+def block_links(members: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links inside pairs of blocks, summed up: (id, root, links).
+
+    members (x, y, side, id, text, larges, copies): a group (x, y) has block x
+    as side 0 and, where y differs, block y as side 1; pairs of the two are
+    judged, or those of x alone.  root: the least id that a member reaches
+    inside its group; links: documents it links with there.  Only pairs that
+    share one of `larges` count.
+    """
+    kind = members.schema["id"].dataType.simpleString()
+    rows = members.repartition("x", "y").sortWithinPartitions("x", "y", "side")
+
+    def solve(table: pa.Table):
+        ids, side = table["id"].to_pylist(), np.array(table["side"].to_pylist())
+        sets = list(Shingler(size).sets(table["text"].combine_chunks()))
+        larges = [np.unique(np.array(v, np.int64)) for v in table["larges"].to_pylist()]
+        copies = np.array(table["copies"].to_pylist(), np.int64)
+        cut = int((side == 0).sum())
+        mine, other = slice(0, cut), slice(cut, None)
+        alone = cut == len(ids)
+        at = np.argwhere(linked(sets[mine], None if alone else sets[other], percent))
+        at += [0, 0 if alone else cut]
+        at = [(i, j) for i, j in at.tolist() if len(np.intersect1d(larges[i], larges[j], assume_unique=True))]
+        root, links = list(range(len(ids))), np.zeros(len(ids), np.int64)
+
+        def find(i):
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for i, j in at:
+            links[i] += copies[j]
+            links[j] += copies[i]
+            i, j = find(i), find(j)
+            if i != j:
+                i, j = (i, j) if ids[i] < ids[j] else (j, i)
+                root[j] = i
+        return [(ids[i], ids[find(i)], int(links[i])) for i in np.flatnonzero(links).tolist()]
+
+    def run(batches):
+        last, held = None, []
+        schema = None
+        for b in batches:
+            schema = pa.schema([("id", b.schema.field("id").type), ("root", b.schema.field("id").type), ("links", pa.int64())])
+            keys = list(zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True))
+            begin = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            for lo, hi in zip(begin[:-1], begin[1:], strict=True):
+                if held and keys[lo] != last:
+                    yield columns(solve(pa.Table.from_batches(held)), schema)
+                    held = []
+                last = keys[lo]
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield columns(solve(pa.Table.from_batches(held)), schema)
+
+    return rows.mapInArrow(run, f"id {kind}, root {kind}, links long")
+
+
+def joined_on(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Inner join with settled keys, which are broadcast up to BROADCAST_KEYS of them."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on)
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80
 ) -> DataFrame:
-    """Components of the documents whose shingle sets have a Jaccard similarity of percent / 100 or more.
+    """Classes, links and components of documents whose shingle sets have a Jaccard similarity of percent / 100 or more.
 
     1. Documents with equal sets are one class, represented by its least id.
+       All tokens of the corpus are counted, exactly and over all tasks.
     2. Representatives are indexed (see ``index``); keys of one set alone go.
-    3. Members of a key's bucket which are likely to link with the bucket's
-       least id are verified against it, which is linear in the bucket;
-       buckets that lie in one component are done.
-    4. The other buckets' members from different components are verified
-       against each other where sizes, the places of frequent keys and the
-       number of shared rare keys allow a link; a bucket beyond BLOCK members
-       is dealt out by blocks, so no task holds all of it.
-
-    The filter of step 4 loses no link.  Let linked sets of n and m tokens
+    3. Pairs in small buckets are listed where sizes, the places of frequent
+       keys and the number of shared rare keys allow a link, and verified.
+    4. Members of large buckets go into blocks by their least large key.  Two
+       blocks that share a large key are compared set by set in one task, which
+       hands on a spanning forest and numbers of links, never the pairs: what
+       it returns is linear in what it gets, and so is what a task holds.
+
+    A pair that shares a large key is judged in step 4, every other one in step
+    3, so each link between different sets is counted once, and none is lost.
+
+    The filter of step 3 loses no link.  Let linked sets of n and m tokens
     share o tokens, r of them rare.  If r <= SLACK, the first frequent tokens
     they share have at least o - r - 2 shared ones behind them, so their key's
     place is n - o + r at most, in either set: places beyond n - o + SLACK
@@ -315,57 +356,42 @@ def near_duplicates(
     frequent token, and rare_needed holds, or all r rare ones lie before the
     frequent ones in both prefixes, and r + f reaches what prefixes share.
 
-    Steps 3 and 4 lose no link that would join two components.
+    Returns one row per input row: id, n_shingles, class_id (the least id with
+    the same set), n_links (other documents it links with, copies included)
+    and component_id.
 
-    Returns one row per input row: id, n_shingles, component_id.
-
-    Defined results: null, empty and wordless texts have empty sets and are
-    components of their own; texts of fewer words than a shingle have one
-    shingle; rows that repeat an id are one document if their texts are equal
-    (an output row for each); a null id is never linked; an empty table gives
-    an empty result; other columns are ignored.
+    Defined results: null, empty and wordless texts have empty sets, no links,
+    and are components of their own; texts of fewer words than a shingle have
+    one shingle; rows that repeat an id are one document if their texts are
+    equal (an output row for each); a null id is never linked; an empty table
+    gives an empty result; other columns are ignored.  Shingles are equal if
+    their 64-bit hashes are, which rest on 62-bit hashes of words.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    first = settle(signatures(texts, size), "ngram-signatures")
+    volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(31, max(0, (volume // 5 // BIN)).bit_length())
+    first = settle(signatures(texts, size, bits), "ngram-signatures")
     sigs = first.where("n is not null").select("id", "n", "s1", "s2")
-    counts = settle(
-        first.where("tok is not null").groupBy("tok").agg(F.sum("cnt").alias("c")).where(F.col("c") >= FREQUENT), "ngram-counts"
-    )
-    least = FREQUENT
-    while (many := counts.where(F.col("c") >= least)).count() > FREQUENT_MAX:
-        least *= 2
-    frequent = np.sort(np.array([r["tok"] for r in many.select("tok").collect()], np.int64).view(np.uint64))
-    classes = sigs.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
+    tokens = sigs.agg(F.sum("n")).first()[0] or 0
+    counts = first.where("bin is not null").select("bin", "toks", "cnts")
+    frequent = frequent_tokens(counts, max(FREQUENT, -(-tokens // FREQUENT_SHARE)))
+    classes = sigs.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"))
     reps = settle(classes, "ngram-classes")
     rep_texts = restrict(texts, reps.select(F.col("rep").alias("id")), "id", reps.count())
-    keys = settle(index(rep_texts, frequent, size, percent), "ngram-keys")
-    buckets = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    buckets = buckets.select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"), "m")
-    rows = settle(keys.join(buckets, "key").distinct(), "ngram-buckets")
-    near = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
-    shared = rows.where("id <> pivot").where(near).groupBy(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    shared = shared.agg(F.count_if(~F.col("often")).alias("rare"), F.max("often").alias("often"), F.first("n").alias("n"), F.first("pn").alias("pn"))
-    # a pivot may be that of a part of the shared keys alone; half of what is needed will do, as step 4 misses nothing
-    likely = F.col("often") | (2 * F.col("rare") >= rare_needed("n", "pn", percent))
-    pivots = settle(shared.where(likely).select("a", "b"), "ngram-pivots")
-    links = verified(pivots, texts, size, percent)
-    nodes = settle(reps.select(F.col("rep").alias("id")), "ngram-nodes")
-    found = settle(components(nodes, links), "ngram-components")
-    # buckets that still hold several components
-    placed = rows.join(found, "id")
-    open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    left = settle(placed.join(open_, "key").select("key", "id", "n", "often", "place", "f", "component", "m"), "ngram-open")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
-    # each row goes to the pairs of blocks that its block is part of: a task sees two blocks at a time
-    dealt = left.withColumns({"k": mine, "blocks": blocks}).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "id", "n", "often", "place", "f", "component", "k", F.least("k", "o").alias("x"), F.greatest("k", "o").alias("y"))
-    one, two = dealt, dealt.toDF(*[f"{c}2" for c in dealt.columns])
-    on = (F.col("key") == F.col("key2")) & (F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2"))
-    on &= (F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2"))
-    on &= (F.col("k") != F.col("k2")) | (F.col("x") == F.col("y"))
-    on &= (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+    keys = settle(index(rep_texts, frequent, bits, size, percent), "ngram-keys")
+    buckets = settle(keys.groupBy("key").agg(F.count_distinct("id").alias("m")).where("m > 1"), "ngram-buckets")
+    rows = joined_on(keys, buckets.where(F.col("m") <= SMALL), "key").distinct()
+    large = buckets.where(F.col("m") > SMALL)
+    of_large = joined_on(keys.select("key", "id"), large, "key").distinct()
+    held = of_large.groupBy("id").agg(F.min("key").alias("least"), F.collect_set("key").alias("larges"))
+    held = settle(held, "ngram-large")
+    copies = reps.select(F.col("rep").alias("id"), "copies")
+
+    # step 3
+    one, two = rows.drop("m"), rows.drop("m").toDF(*[f"{c}2" for c in rows.drop("m").columns])
     last = SLACK - overlap_needed("n", "n2", percent)
+    on = (F.col("key") == F.col("key2")) & (F.col("id") < F.col("id2"))
+    on &= 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
     on &= (F.col("place") <= F.col("n") + last) & (F.col("place2") <= F.col("n2") + last)
     shared = one.join(two, on).groupBy(F.col("id").alias("a"), F.col("id2").alias("b"))
     shared = shared.agg(
@@ -377,17 +403,50 @@ def near_duplicates(
     )
     need = rare_needed("n", "n2", percent)
     enough = F.col("often") | (F.col("rare") >= need) | ((F.col("rare") > SLACK) & (F.col("rare") + F.col("f") > need))
-    more = shared.where(enough).select("a", "b")
-    tried = pivots.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = settle(more.join(tried, ["a", "b"], "left_anti"), "ngram-more")
-    if not more.isEmpty():
-        links = links.union(verified(more, texts, size, percent))
-        found = settle(components(nodes, links), "ngram-components")
-    of_class = reps.join(found.withColumnRenamed("id", "rep"), "rep").select("n", "s1", "s2", "component")
-    return sigs.join(of_class, ["n", "s1", "s2"], "left").select(
+    pairs = shared.where(enough).select("a", "b")
+    if not held.isEmpty():
+        for c in ("a", "b"):
+            pairs = pairs.join(held.select(F.col("id").alias(c), F.col("larges").alias(f"l{c}")), c, "left")
+        pairs = pairs.where("not coalesce(arrays_overlap(la, lb), false)").select("a", "b")
+    links = verified(settle(pairs, "ngram-pairs"), texts, size, percent)
+    ways = links.union(links.select("b", "a")).join(copies.withColumnRenamed("id", "b"), "b")
+    partial = ways.groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("links"))
+    edges = links
+
+    # step 4
+    if not held.isEmpty():
+        sizes = held.groupBy("least").agg(F.count(F.lit(1)).alias("k"))
+        parts = F.ceil(F.col("k") / BLOCK)
+        placed = held.join(sizes, "least").withColumn("block", F.xxhash64("least", F.pmod(F.xxhash64("id"), parts.cast("long"))))
+        placed = settle(placed.select("id", "block", "larges"), "ngram-blocks")
+        at = placed.select(F.explode("larges").alias("key"), "block").distinct()
+        meet = at.withColumnRenamed("block", "x").join(at.withColumnRenamed("block", "y"), "key").where("x <= y")
+        meet = settle(meet.select("x", "y").distinct(), "ngram-meetings")
+        wide = placed.join(copies, "id")
+        wide = wide.join(restrict(texts, placed, "id", placed.count()).dropDuplicates(["id"]), "id")
+        wide = settle(wide, "ngram-members")
+        sent = wide.join(meet, wide["block"] == meet["x"]).withColumn("side", F.lit(0))
+        sent = sent.unionByName(wide.join(meet.where("x < y"), wide["block"] == meet["y"]).withColumn("side", F.lit(1)))
+        found = settle(block_links(sent.select("x", "y", "side", "id", "text", "larges", "copies"), size, percent), "ngram-block-links")
+        edges = edges.union(found.select("id", "root"))
+        partial = partial.union(found.groupBy("id").agg(F.sum("links").alias("links")))
+
+    nodes = settle(copies, "ngram-nodes")
+    found = settle(components(nodes, edges), "ngram-components")
+    total = partial.groupBy("id").agg(F.sum("links").alias("links"))
+    summed = joined(joined(nodes, found, ["id"]), total, ["id"]).select(
+        F.col("id").alias("rep"), "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
+    )
+    of_class = reps.join(summed, "rep").select("n", "s1", "s2", "rep", "component", "links")
+    # equal texts may be a third of all rows: their class row is broadcast while classes are few, else AQE splits the key
+    alone = F.col("id").isNull() | (F.col("n") == 0)
+    out = sigs.join(of_class, ["n", "s1", "s2"], "left")
+    return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"),
+        F.when(alone, F.col("id")).otherwise(F.coalesce("rep", "id")).alias("class_id"),
+        F.when(alone, F.lit(0)).otherwise(F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
+        F.when(alone, F.col("id")).otherwise(F.coalesce("component", "id")).alias("component_id"),
     )
 
 
