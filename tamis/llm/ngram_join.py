@@ -23,7 +23,7 @@ FREQUENT_SHARE = 2_000_000
 #: Sets up to this size are indexed by pairs of frequent tokens; larger ones by frequent tokens alone.
 PAIRED = 300
 #: Buckets of more members are compared by blocks instead of row by row.
-SMALL = 8
+SMALL = 64
 #: Members of a block.
 BLOCK = 256
 #: Rare tokens shared by two sets that the bound on places of frequent tokens allows for; with more, rare tokens decide.
