@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import language_id, quality
+from .common import BROADCAST_KEYS
 from .decontam import contamination
 from .exact_dedup import exact_dedup
 from .license_scan import licences
@@ -54,7 +55,8 @@ TOXIC_FROM = 0.3
 def toxic_model(docs, labels):
     """Learns from the labelled rows outside the held-out fold."""
     labels = labels.where("toxic is not null").select("doc_id", "toxic").where(~held_out(F.col("doc_id")))
-    return train(docs.select("doc_id", "text").join(labels, "doc_id").select("text", "toxic"))
+    side = F.broadcast(labels) if labels.count() <= BROADCAST_KEYS else labels
+    return train(docs.select("doc_id", "text").join(side, "doc_id").select("text", "toxic"))
 
 
 def op3_toxicity(spark, sf_dir):

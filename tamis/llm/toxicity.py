@@ -1,66 +1,69 @@
-"""Toxicity by class-conditional Kneser-Ney models over characters of words."""
+"""Toxicity by class-conditional Kneser-Ney models over the symbols of a text, words and gaps alike."""
 
 from __future__ import annotations
 
-import math
-import re
-from collections import defaultdict
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
+from .words import mix
 
+#: Symbols of a gram.  A gram is its symbols side by side in a long, so eight would be the most.
 ORDER = 5
 DISCOUNT = 0.75
-#: Probability of a character that no gram has.
-UNSEEN = 1e-4
-#: Labelled rows that the calibration (three weights) is fitted on, at most; the counts take all.
+#: Share of a symbol that no gram has.
+UNSEEN = 1 / 256
+#: Symbols of a window (a word or two).
+WINDOW = 10
+#: Labelled rows that the calibration (four weights) is fitted on, at most; the counts take all.
 CALIBRATION_ROWS = 8000
-WORD = re.compile(r"[^\W\d_]+")
 COUNTS = ["toxic", "ordinary", "toxic_half", "ordinary_half"]
+GAP = 32
 
 
-def ngram_counts(labelled: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
-    """Counts over all words of labelled (text, toxic), '^' and '$' at the borders.
+def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, bounds) of lower-cased texts: the bytes of letters, and one GAP for each run of anything else.
 
-    First (gram, toxic, ordinary, toxic_half, ordinary_half): grams of the
-    highest order, shorter at a word's start; the last two count the rows that
-    `fitted` keeps from the calibration.  Then (gram, kinds, kinds_half):
-    different characters before each lower-order gram.  Each task sums its
-    own grams first.
+    Every text begins with ORDER - 1 gaps, so no gram reaches into the text before.
     """
-
-    def count(batches):
-        total: dict[str, list[int]] = defaultdict(lambda: [0] * 4)
-        for b in batches:
-            words: dict[str, list[int]] = defaultdict(lambda: [0] * 4)
-            for text, toxic, half in zip(b["text"], b["toxic"], b["half"], strict=True):
-                for w in WORD.findall((text or "").lower()):
-                    n = words[w]
-                    n[1 - toxic] += 1
-                    n[3 - toxic] += half
-            for w, counts in words.items():
-                s = f"^{w}$"
-                for i in range(1, len(s)):
-                    g = total[s[max(0, i - order + 1) : i + 1]]
-                    for c, v in enumerate(counts):
-                        g[c] += v
-            if len(total) > 400_000:  # a task's memory stays bounded
-                yield pd.DataFrame([(g, *v) for g, v in total.items()], columns=["gram", *COUNTS])
-                total.clear()
-        yield pd.DataFrame([(g, *v) for g, v in total.items()], columns=["gram", *COUNTS])
-
-    rows = labelled.select("text", F.col("toxic").cast("int").alias("toxic"), fitted(F.col("text")).cast("int").alias("half"))
-    parts = rows.mapInPandas(count, "gram string, " + ", ".join(f"{c} long" for c in COUNTS))
-    top = settle(parts.groupBy("gram").agg(*[F.sum(c).alias(c) for c in COUNTS]), "toxicity-grams")
-    size = F.length("gram")
-    ends = F.explode(F.transform(F.sequence(F.lit(1), size), lambda k: F.substring(F.col("gram"), size - k + 1, k))).alias("gram")
-    every = top.select(ends, (F.col("toxic_half") + F.col("ordinary_half") > 0).alias("half")).groupBy("gram").agg(F.max("half").alias("half"))
-    behind = every.where(size > 1).groupBy(F.substring(F.col("gram"), F.lit(2), size).alias("gram"))
-    return top, behind.agg(F.count(F.lit(1)).alias("kinds"), F.count_if("half").alias("kinds_half"))
+    column = pc.utf8_lower(column.cast(pa.large_string()).fill_null(""))
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]] if len(column) else np.zeros(0, np.uint8)
+    at = at - at[0]
+    letter = ((data >= 97) & (data <= 122)) | (data >= 128)
+    out = np.where(letter, data, GAP).astype(np.uint8)
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]  # the first of each run of others
+    first = at[:-1][at[:-1] < at[1:]]
+    keep[first] = letter[first]  # not at the start of a text, which has gaps of its own
+    places = np.concatenate([[0], np.cumsum(keep)])[at]
+    pad = ORDER - 1
+    every = np.insert(out[keep], np.repeat(places[:-1], pad), GAP)
+    return every, places + pad * np.arange(len(places))
+
+
+def grams(every: np.ndarray) -> np.ndarray:
+    """The gram that ends at each symbol."""
+    out = np.zeros(len(every), np.uint64)
+    for k in range(min(ORDER, len(every))):
+        out[k:] |= every[: len(every) - k].astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
+def inside(bounds: np.ndarray, n: int) -> np.ndarray:
+    """Which symbols aren't the gaps at a text's start."""
+    out = np.ones(n, bool)
+    for k in range(ORDER - 1):
+        out[bounds[:-1] + k] = False
+    return out
+
+
+def slices(batch: pa.RecordBatch, rows: int = 512):
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
 
 def fitted(text: Column) -> Column:
@@ -68,185 +71,228 @@ def fitted(text: Column) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(2)) == 0
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
-
-
-def chained(strings: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Hashes of the grams that end at each character of the strings, by length from 0; each character's place; each string's end.
-
-    Grams that would reach over a string's start have no meaning.
-    """
-    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-    ends = np.cumsum(sizes)
-    codes = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    place = np.arange(len(codes)) - np.repeat(ends - sizes, sizes)
-    out = [np.zeros(len(codes), np.uint64)]
-    for k in range(order):
-        before = np.zeros(len(codes), np.uint64)
-        before[k:] = codes[: len(codes) - k]
-        out.append(mix(out[-1] * np.uint64(0x100000001B3) + before + np.uint64(k + 1)))
-    return out, place, ends
-
-
-def gram_keys(grams: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each gram and of its history."""
-    if not len(grams):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    by, place, ends = chained(grams, order)
-    last = ends - 1
-    size = place[last] + 1
-    stack = np.stack(by)
-    return stack[size, last], np.where(size > 1, stack[size - 1, np.maximum(last - 1, 0)], np.uint64(0))
-
-
-def hashed(grams: DataFrame, order: int) -> dict[str, np.ndarray]:
-    """All rows of (gram, numbers) as arrays: key, before and the numbers.  Tasks hash; no string goes to the driver."""
-    numbers = [c for c in grams.columns if c != "gram"]
+def gram_counts(labelled: DataFrame) -> DataFrame:
+    """(gram, toxic, ordinary, toxic_half, ordinary_half) over all symbols of labelled (text, toxic); halves count `fitted` rows."""
 
     def run(batches):
-        for b in batches:
-            key, before = gram_keys(b["gram"].tolist(), order)
-            yield pd.DataFrame({"key": key.view(np.int64), "before": before.view(np.int64), **{c: b[c] for c in numbers}})
-
-    table = grams.mapInPandas(run, ", ".join(f"{c} long" for c in ("key", "before", *numbers))).toArrow()
-    out = {c: table[c].to_numpy() for c in table.column_names}
-    return out | {c: out[c].view(np.uint64) for c in ("key", "before")}
+        held, size = [], 0
+
+        def summed():
+            gram, back = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
+            kind = np.concatenate([k for _, k in held])
+            cols = [np.bincount(back, kind == k, len(gram)).astype(np.int64) for k in range(4)]
+            toxic_half, ordinary_half = cols[3], cols[2]
+            rows = [gram.view(np.int64), cols[1] + cols[3], cols[0] + cols[2], toxic_half, ordinary_half]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["gram", *COUNTS])
+
+        for batch in batches:
+            for b in slices(batch):
+                every, bounds = symbols(b.column("text"))
+                kind = np.asarray(b.column("toxic")) + 2 * np.asarray(b.column("half"))
+                use = inside(bounds, len(every))
+                held.append((grams(every)[use], np.repeat(kind, np.diff(bounds))[use].astype(np.int8)))
+                size += len(every)
+                if size > 4_000_000:  # a task's memory stays bounded
+                    yield summed()
+                    held, size = [], 0
+        if held:
+            yield summed()
 
+    rows = labelled.select("text", F.col("toxic").cast("int").alias("toxic"), fitted(F.col("text")).cast("int").alias("half"))
+    parts = rows.mapInArrow(run, "gram long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return settle(parts.groupBy("gram").agg(*[F.sum(c).alias(c) for c in COUNTS]), "toxicity-grams")
+
+
+def shared_backoff(top: DataFrame) -> DataFrame:
+    """(gram, p) of all grams of ORDER - 1 symbols: their last symbol's share after the others, from both classes' kinds."""
+    level = top.select("gram")
+    sizes = {}
+    for k in range(ORDER - 1, 0, -1):
+        # a gram's kinds: how many different symbols stand before it
+        level = level.select(F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
+        level = sizes[k] = settle(level, f"toxicity-kinds-{k}")
+    below = None
+    for k in range(1, ORDER):
+        here = sizes[k].withColumn("before", F.shiftright("gram", 8))
+        sums = here.groupBy("before").agg(F.sum("kinds").alias("n"), F.count(F.lit(1)).alias("many"))
+        here = here.join(sums, "before")
+        if below is None:
+            p = F.lit(UNSEEN)
+        else:
+            here = here.withColumn("rest", F.col("gram").bitwiseAND((1 << 8 * (k - 1)) - 1)).join(below.toDF("rest", "p"), "rest")
+            p = F.col("p")
+        share = (F.greatest(F.col("kinds") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("many") * p) / F.col("n")
+        below = settle(here.select("gram", share.alias("p")), f"toxicity-below-{k}")
+    return below
+
+
+def ratios(top: DataFrame, below: DataFrame, end: str = "") -> tuple[DataFrame, DataFrame]:
+    """(gram, ratio) and (before, ratio): log P(symbol | toxic) - log P(symbol | ordinary) of seen grams, and of unseen ones after a seen history.
+
+    Each class discounts its own grams and leaves the rest to the backoff that
+    both share, so an unseen gram's ratio is that of the two classes' leavings.
+    """
+    before, rest = F.shiftright("gram", 8), F.col("gram").bitwiseAND((1 << 8 * (ORDER - 1)) - 1)
+    sums = [f(c).alias(f"{a}_{c}") for c in ("toxic", "ordinary") for a, f in (("n", F.sum), ("many", lambda c: F.count_if(F.col(c) > 0)))]
+    seen = top.select("gram", F.col(f"toxic{end}").alias("toxic"), F.col(f"ordinary{end}").alias("ordinary"), before.alias("before"), rest.alias("rest"))
+    seen = seen.where("toxic + ordinary > 0")
+    hist = settle(seen.groupBy("before").agg(*sums), "toxicity-histories")
+    both = seen.join(hist, "before").join(below.toDF("rest", "p"), "rest")
+
+    def leaving(c):
+        return F.when(F.col(f"n_{c}") > 0, DISCOUNT * F.col(f"many_{c}") / F.col(f"n_{c}")).otherwise(F.lit(1.0))
+
+    def share(c):
+        kept = F.when(F.col(f"n_{c}") > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"n_{c}")).otherwise(F.lit(0.0))
+        return kept + leaving(c) * F.col("p")
+
+    return (
+        both.select("gram", (F.log(share("toxic")) - F.log(share("ordinary"))).cast("float").alias("ratio")),
+        hist.select("before", (F.log(leaving("toxic")) - F.log(leaving("ordinary"))).cast("float").alias("ratio")),
+    )
+
+
+class Ratios:
+    """Numbers by 64-bit key in an open hash table: a look-up is one or two gathers."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.size = 1 << max(4, int(2 * len(keys)).bit_length())
+        self.keys, self.values = np.full(self.size, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(self.size, np.float32)
+        left = np.arange(len(keys))
+        at = self.slot(keys)
+        while len(left):
+            free = self.keys[at] == np.uint64(0xFFFFFFFFFFFFFFFF)
+            self.keys[at[free]] = keys[left[free]]  # of several, the last one gets the place
+            won = self.keys[at] == keys[left]
+            self.values[at[won]] = values[left[won]]
+            left, at = left[~won], (at[~won] + 1) & (self.size - 1)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys) >> np.uint64(8)).astype(np.int64) & (self.size - 1)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, found); absent keys have 0."""
+        out, found = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
+        left, at = np.arange(len(keys)), self.slot(keys)
+        while len(left):
+            here = self.keys[at]
+            hit = here == keys[left]
+            out[left[hit]], found[left[hit]] = self.values[at[hit]], True
+            go = ~hit & (here != np.uint64(0xFFFFFFFFFFFFFFFF))
+            left, at = left[go], (at[go] + 1) & (self.size - 1)
+        return out, found
 
-class Table:
-    """Numbers by 64-bit key; absent keys have zeros."""
 
-    def __init__(self, keys: np.ndarray, *numbers: np.ndarray) -> None:
-        by = np.argsort(keys)
-        self.keys, self.numbers = keys[by], [n[by].astype(np.float32) for n in numbers]
+class Model:
+    def __init__(self, seen: Ratios, after: Ratios, weights=(-3.0, 1.0, 1.0, 0.0)) -> None:
+        self.seen, self.after, self.weights = seen, after, np.array(weights, float)
 
     @classmethod
-    def summed(cls, keys: np.ndarray, numbers: np.ndarray) -> Table:
-        """Of positive numbers: their sum and how many there are."""
-        uniq, at = np.unique(keys[numbers > 0], return_inverse=True)
-        return cls(uniq, np.bincount(at, numbers[numbers > 0], len(uniq)), np.bincount(at, minlength=len(uniq)))
-
-    def get(self, keys: np.ndarray) -> list[np.ndarray]:
-        if not len(self.keys):
-            return [np.zeros(len(keys), np.float32) for _ in self.numbers]
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        found = self.keys[at] == keys
-        return [np.where(found, n[at], 0) for n in self.numbers]
-
+    def collected(cls, tables: tuple[DataFrame, DataFrame]) -> Model:
+        # 12 bytes a gram; tasks get them as two tables of 12 bytes a slot
+        got = [t.toArrow() for t in tables]
+        return cls(*[Ratios(t.column(0).to_numpy().astype(np.int64).view(np.uint64), t.column(1).to_numpy()) for t in got])
+
+    def per_symbol(self, every: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        key = grams(every)
+        out, found = self.seen.get(key)
+        miss = np.flatnonzero(~found)
+        out[miss] = self.after.get(key[miss] >> np.uint64(8))[0]
+        out[~inside(bounds, len(every))] = 0
+        return out
 
-class Model:
-    """Two Kneser-Ney models that share all orders below the highest.  Grams are kept by hash, in sorted arrays."""
-
-    def __init__(self, top=((), (), (), ()), low=((), (), ()), order: int = ORDER) -> None:
-        """top: hashes of grams and of their histories, toxic and ordinary counts; low: hashes, different characters before the grams."""
-        self.order = order
-        self.weights = np.array([-3.0, 1.0, 1.0])
-        gram, before = (np.asarray(k, np.uint64) for k in top[:2])
-        counts = [np.asarray(n, np.float64) for n in top[2:]]
-        self.top = Table(gram, *reversed(counts))
-        self.hist = [Table.summed(before, n) for n in reversed(counts)]
-        gram, before = (np.asarray(k, np.uint64) for k in low[:2])
-        kinds = np.asarray(low[2], np.float64)
-        self.kinds, self.low = Table(gram, kinds), Table.summed(before, kinds)
-
-    def ratios(self, words: list[str]) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary) of each word."""
-        by, place, ends = chained([f"^{w}$" for w in words], self.order)
-        before = [np.concatenate([np.zeros(1, np.uint64), h[:-1]]) for h in by]
-        below = np.full(len(place), UNSEEN)
-        for k in range(1, self.order):
-            (kinds,), (n, many) = self.kinds.get(by[k]), self.low.get(before[k - 1] if k > 1 else by[0])
-            p = (np.maximum(kinds - DISCOUNT, 0) + DISCOUNT * many * below) / np.maximum(n, 1)
-            below = np.where((n > 0) & (place >= k), p, below)
-        size = np.minimum(place + 1, self.order)
-        at = np.arange(len(place))
-        gram, history = np.stack(by)[size, at], np.stack(before)[size - 1, at]
-        logs = []
-        for count, table in zip(self.top.get(gram), self.hist, strict=True):
-            n, many = table.get(history)
-            p = (np.maximum(count - DISCOUNT, 0) + DISCOUNT * many * below) / np.maximum(n, 1)
-            logs.append(np.log(np.where(n > 0, p, below)))
-        steps = np.where(place > 0, logs[1] - logs[0], 0.0)
-        return np.add.reduceat(steps, np.concatenate([[0], ends[:-1]]))
-
-    def features(self, texts, known: dict[str, float]) -> np.ndarray:
-        """(1, log-likelihood ratio a word over the whole text, that of its most telling word) of each text."""
-        split = [WORD.findall((t or "").lower()) for t in texts]
-        new = list({w for ws in split for w in ws if w not in known})
-        if len(known) + len(new) > 300_000:  # a bound on memory; words are computed anew
-            known.clear()
-            new = list({w for ws in split for w in ws})
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            known.update(zip(part, self.ratios(part).tolist(), strict=True))
-        out = np.zeros((len(split), 3))
-        for i, ws in enumerate(split):
-            r = [known[w] for w in ws]
-            out[i] = (1.0, sum(r) / len(r), max(r)) if r else (1.0, 0.0, 0.0)
+    def features(self, column: pa.Array) -> np.ndarray:
+        """(1, mean ratio a symbol of the whole text, mean ratio of its most toxic window, log of its length) of each text."""
+        every, bounds = symbols(column)
+        out = np.zeros((len(column), 4))
+        out[:, 0] = 1
+        sizes = np.diff(bounds) - (ORDER - 1)
+        if not len(every):
+            return out
+        sums = np.concatenate([[0.0], np.cumsum(self.per_symbol(every, bounds), dtype=np.float64)])
+        at = np.arange(len(every))
+        from_ = np.maximum(at - WINDOW + 1, np.repeat(bounds[:-1], np.diff(bounds)))
+        best = np.maximum.reduceat((sums[at + 1] - sums[from_]) / WINDOW, bounds[:-1])
+        out[:, 1] = (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(sizes, 1)
+        out[:, 2] = best
+        out[:, 3] = np.log1p(sizes)
+        out[sizes == 0, 1:] = 0
         return out
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Fits the weights to features x and labels y."""
+        """Fits the weights to features x and labels y; a higher ratio never lowers the score."""
         if not len(y):
             return
-        w = np.zeros(3)
-        for _ in range(50):  # Newton steps of a ridge-penalised logistic regression
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3)
-            w += np.linalg.solve(h, x.T @ (y - p) - 1e-2 * w)
-        self.weights = w
-
-    def scores(self, texts, known: dict[str, float]) -> np.ndarray:
-        z = self.features(texts, known) @ self.weights
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
-def train(labelled: DataFrame, order: int = ORDER) -> Model:
+        use = np.ones(4, bool)
+        for _ in range(3):
+            w = np.zeros(4)
+            for _ in range(60):  # Newton steps of a ridge-penalised logistic regression
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(4)
+                g = x.T @ (y - p) - 1e-2 * w
+                w[use] += np.linalg.solve(h[np.ix_(use, use)], g[use])
+            if not (bad := use & (w < 0) & [False, True, True, False]).any():
+                break
+            use &= ~bad
+        self.weights = np.where(use, w, 0)
+
+    def scores(self, column: pa.Array) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.features(column) @ self.weights, -30, 30)))
+
+
+def train(labelled: DataFrame) -> Model:
     """Counts of all labelled rows (text, toxic 0/1); every gram is kept, seen once or not.
 
     The calibration is fitted on at most CALIBRATION_ROWS rows, by hash
-    order, with a model that has not counted them.
+    order, with a model that has not counted them.  Null texts count as empty;
+    without rows the model has no evidence for any text.
     """
-    top, low = ngram_counts(labelled, order)
-    top, low = hashed(top, order), hashed(low, order)
-
-    def model_of(end: str) -> Model:
-        return Model(tuple(top[c] for c in ("key", "before", f"toxic{end}", f"ordinary{end}")), tuple(low[c] for c in ("key", "before", f"kinds{end}")), order)
-
-    apart = model_of("_half")
+    top = gram_counts(labelled)
+    below = shared_backoff(top)
+    apart = Model.collected(ratios(top, below, "_half"))
     rows = labelled.where(~fitted(F.col("text"))).select(F.xxhash64("text").alias("h"), "text", F.col("toxic").cast("int").alias("toxic"))
     held = labelled.sparkSession.sparkContext.broadcast(apart)
 
     def run(batches):
-        known: dict[str, float] = {}
-        for b in batches:
-            x = held.value.features(b["text"], known)
-            yield pd.DataFrame({"h": b["h"], "mean": x[:, 1], "most": x[:, 2], "toxic": b["toxic"]})
+        for batch in batches:
+            for b in slices(batch):
+                x = held.value.features(b.column("text"))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("h"), *[pa.array(x[:, k]) for k in (1, 2, 3)], b.column("toxic")], names=["h", "mean", "best", "size", "toxic"]
+                )
 
     # features, not texts, go to the driver
-    some = rows.mapInPandas(run, "h long, mean double, most double, toxic int").orderBy("h", "mean", "most", "toxic").limit(CALIBRATION_ROWS)
-    some = some.toPandas()
-    apart.calibrate(np.column_stack([np.ones(len(some)), some["mean"], some["most"]]), some["toxic"].to_numpy(float))
-    model = model_of("")
+    some = rows.mapInArrow(run, "h long, mean double, best double, size double, toxic int")
+    some = some.orderBy("h", "mean", "best", "size", "toxic").limit(CALIBRATION_ROWS).toPandas()
+    x = np.column_stack([np.ones(len(some)), some["mean"], some["best"], some["size"]]) if len(some) else np.zeros((0, 4))
+    apart.calibrate(x, some["toxic"].to_numpy(float))
+    model = Model.collected(ratios(top, below))
     model.weights = apart.weights
     return model
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and score (0 to 1) of every whole text.
+    """id, score (0 to 1), mean and best of every whole text.
+
+    The score is a logistic function of two log-likelihood ratios of the toxic
+    and the ordinary model, both normalised by length: over the whole text, and
+    over its most toxic window, as an insult drowns in a long text.  The log of
+    the length goes in too, since more windows have a higher best one by chance.
 
-    Null and wordless texts get the score of no evidence; repeated rows come
+    Null and letterless texts get the score of no evidence; repeated rows come
     out again; an empty table gives an empty result; other columns are ignored.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        known: dict[str, float] = {}
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "score": held.value.scores(b["text"], known)})
+        for batch in batches:
+            for b in slices(batch):
+                x = held.value.features(b.column("text"))
+                z = np.clip(x @ held.value.weights, -30, 30)
+                out = [b.column("id"), *[pa.array(c) for c in (1 / (1 + np.exp(-z)), x[:, 1], x[:, 2])]]
+                yield pa.RecordBatch.from_arrays(out, names=["id", "score", "mean", "best"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, score double").select(F.col("id").alias(id_col), "score")
+    found = rows.mapInArrow(run, f"id {kind}, score double, mean double, best double")
+    return found.select(F.col("id").alias(id_col), "score", "mean", "best")
