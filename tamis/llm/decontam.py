@@ -5,15 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, ascii_lower, joined, restrict, settle
+from .common import BROADCAST_KEYS, ascii_lower, restrict, settle
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words of a shingle; windows of fewer words are one shingle each.
+SHINGLE = 3
+#: Words of a piece of a document that a candidate is verified in (and what a window needs beyond).
+PIECE = 256
 
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
+def shingles(w: Column, size: int) -> Column:
+    """Hashes of the `size` words from each place on, as (hash, place)."""
+    at = F.sequence(F.lit(0), F.size(w) - size)
+    made = F.transform(at, lambda i: F.struct(F.xxhash64(*[F.get(w, i + k) for k in range(size)]).alias("h"), i.alias("at")))
+    return F.when(F.size(w) >= size, made).otherwise(F.array().cast("array<struct<h:bigint,at:int>>"))
+
+
 def contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -25,68 +36,70 @@ def contamination(
 ) -> DataFrame:
     """Where item windows occur in documents.
 
-    A window needs all its words, so its necessary prefix is one word: its
-    rarest in the corpus (ties by the word).  Documents' word positions are
-    joined with those prefix words, the position bounds drop windows that
-    would stand over an end, and the rest is verified word by word.
+    A window needs all its shingles, so its necessary prefix is one of them:
+    the rarest in the corpus (ties by the place).  The places of documents'
+    shingles are joined with those prefixes, the position bounds drop windows
+    that would stand over an end, and what is left is compared word by word, a
+    row for each candidate, inside pieces of documents.  So a row never holds
+    more than PIECE + window words, however long a document is.
 
     Returns id, n_words, n_hit, items (sorted strings of item ids).
 
     Defined results: null or wordless texts have no words and no hits; items
-    without words have no windows; a null id never counts as hit; rows that
-    repeat an id are taken for one document if their texts are equal; empty
-    tables give no hits; other columns are ignored.
+    without words have no windows; what is found depends on the text alone, so
+    rows with null ids are judged like others and rows that repeat an id come
+    out again, each with its own text's result; empty tables give no hits;
+    other columns are ignored.
     """
-    base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    item = items.select(F.col(item_col).cast("string").alias("__item"), words(F.col(item_text_col)).alias("__w"))
-    item = item.where(F.size("__w") > 0)
-    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("__w") - window, F.lit(0)))).alias("__at")
-    win = item.select("__item", "__w", starts).select("__item", F.expr(f"slice(__w, __at + 1, {window})").alias("__win"))
-    win = settle(win.distinct(), "decontam-windows")
-    vocab = settle(win.select(F.explode("__win").alias("__word")).distinct(), "decontam-vocab")
-    n = vocab.count()
-    small = F.broadcast if n <= BROADCAST_KEYS else (lambda df: df)
-    seen = base.select(F.explode(words(F.col("__text"))).alias("__word")).join(small(vocab), "__word", "left_semi")
-    rarity = seen.groupBy("__word").agg(F.count(F.lit(1)).alias("__df"))
-    ranked = win.select("__item", "__win", F.posexplode("__win").alias("__off", "__word")).join(rarity, "__word")
-    # a window with a word that the corpus lacks can't occur; ranked then holds fewer words of it than it has
-    anchors = (
-        ranked.groupBy("__item", "__win")
-        .agg(F.min(F.struct("__df", "__word", "__off")).alias("__m"), F.count(F.lit(1)).alias("__have"))
-        .where(F.col("__have") == F.size("__win"))
-        .select("__item", "__win", F.col("__m.__word").alias("__word"), F.col("__m.__off").alias("__off"))
-    )
-    anchors = settle(anchors, "decontam-anchors")
-    small = F.broadcast if anchors.count() <= BROADCAST_KEYS // 4 else (lambda df: df)
-    split = base.select("__id", words(F.col("__text")).alias("__w")).withColumn("__n", F.size("__w"))
-    spots = split.select("__id", "__n", F.posexplode("__w").alias("__pos", "__word")).join(small(anchors), "__word")
-    spots = spots.withColumn("__start", F.col("__pos") - F.col("__off"))
-    spots = spots.where((F.col("__start") >= 0) & (F.col("__start") + F.size("__win") <= F.col("__n")))
-    cands = settle(
-        spots.groupBy("__id").agg(F.collect_set(F.struct("__start", "__win", "__item")).alias("__cands")),
-        "decontam-candidates",
-    )
-    near = restrict(base, cands, "__id", cands.count()).dropDuplicates(["__id"])
-    near = near.select("__id", words(F.col("__text")).alias("__w")).join(cands, "__id")
-    hits = F.filter("__cands", lambda c: F.slice(F.col("__w"), c["__start"] + 1, F.size(c["__win"])) == c["__win"])
-    near = near.select("__id", F.array_sort(hits).alias("__hits")).where(F.size("__hits") > 0)
-    zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
+    base = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    base = base.withColumn("__key", F.md5("__text"))
+    item = items.select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("w")).where(F.size("w") > 0)
+    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)))).alias("s")
+    of_item = settle(item.select("item", "w", starts).select("item", F.expr(f"slice(w, s + 1, {window})").alias("win")).distinct(), "decontam-windows")
+    wins = of_item.select("win").distinct().withColumn("wid", F.monotonically_increasing_id())
+    wins = settle(wins, "decontam-ids").withColumn("len", F.size("win"))
+    sizes = sorted({min(SHINGLE, r["len"]) for r in wins.select(F.least("len", F.lit(SHINGLE)).alias("len")).distinct().collect()})
 
-    def cover(acc, h):
-        end = h["__start"] + F.size(h["__win"])
-        return F.struct(
-            F.greatest(acc["end"], end).alias("end"),
-            (acc["n"] + F.greatest(end - F.greatest(acc["end"], h["__start"]), F.lit(0))).alias("n"),
-        )
+    def exploded(rows: DataFrame, w: str, of_len: str | None = None) -> DataFrame:
+        """rows with h, size and place of their shingles; windows have those of one size, documents of all that occur."""
+        out = None
+        for k in sizes or [SHINGLE]:
+            some = rows if of_len is None else rows.where(F.least(of_len, F.lit(SHINGLE)) == k)
+            some = some.withColumn("g", F.explode(shingles(F.col(w), k))).drop(w).withColumns({"h": F.col("g.h"), "at": F.col("g.at"), "k": F.lit(k)})
+            out = some.drop("g") if out is None else out.unionByName(some.drop("g"))
+        return out
 
-    near = near.select(
-        "__id",
-        F.aggregate("__hits", zero, cover)["n"].alias("__n_hit"),
-        F.array_sort(F.array_distinct(F.transform("__hits", lambda h: h["__item"]))).alias("__items"),
-    )
-    return joined(split.select("__id", "__n"), near, ["__id"]).select(
+    mine = settle(exploded(wins, "win", "len"), "decontam-shingles")
+    vocab = mine.select("h", "k").distinct()
+    n = vocab.count()
+    spots = exploded(base.select("__key", words(F.col("__text")).alias("w")).withColumn("n", F.size("w")), "w")
+    spots = settle(spots.join(F.broadcast(vocab) if n <= BROADCAST_KEYS else vocab, ["h", "k"], "left_semi"), "decontam-spots")
+    rarity = spots.groupBy("h", "k").agg(F.count(F.lit(1)).alias("df"))
+    # a window with a shingle that the corpus lacks can't occur
+    ranked = mine.join(rarity, ["h", "k"])
+    anchors = ranked.groupBy("wid", "len", "k").agg(F.min(F.struct("df", "at", "h")).alias("m"), F.count(F.lit(1)).alias("have"))
+    anchors = anchors.where(F.col("have") == F.col("len") - F.col("k") + 1)
+    anchors = settle(anchors.select("wid", "len", "k", F.col("m.h").alias("h"), F.col("m.at").alias("off")), "decontam-anchors")
+    small = F.broadcast if anchors.count() <= BROADCAST_KEYS else (lambda df: df)
+    cands = spots.join(small(anchors), ["h", "k"]).withColumn("start", F.col("at") - F.col("off"))
+    cands = cands.where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n")))
+    cands = settle(cands.select("__key", F.expr(f"start div {PIECE}").cast("int").alias("piece"), "start", "wid", "len").distinct(), "decontam-candidates")
+    wanted = settle(cands.select("__key").distinct(), "decontam-wanted")
+    near = restrict(base, wanted, "__key", wanted.count()).dropDuplicates(["__key"]).select("__key", words(F.col("__text")).alias("w"))
+    cut = F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(PIECE)), lambda i: F.slice(F.col("w"), i + 1, PIECE + window - 1))
+    pieces = near.where(F.size("w") > 0).select("__key", F.posexplode(cut).alias("piece", "part"))
+    both = cands.join(wins.select("wid", "win"), "wid").join(pieces, ["__key", "piece"])
+    same = F.slice("part", F.col("start") - F.col("piece") * PIECE + 1, F.col("len")) == F.col("win")
+    hits = settle(both.where(same).select("__key", "start", "wid", "len"), "decontam-hits")
+    covered = hits.select("__key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("at")).distinct()
+    covered = covered.groupBy("__key").agg(F.count(F.lit(1)).alias("n_hit"))
+    found = hits.select("__key", "wid").distinct().join(wins.select("wid", "win"), "wid").join(of_item, "win")
+    found = found.select("__key", "item").distinct().groupBy("__key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    result = settle(covered.join(found, "__key").withColumnRenamed("__key", "__r"), "decontam-result")
+    side = F.broadcast(result) if result.count() <= BROADCAST_KEYS // 8 else result
+    return base.join(side, F.col("__key") == F.col("__r"), "left").select(
         F.col("__id").alias(id_col),
-        F.col("__n").cast("long").alias("n_words"),
-        F.coalesce("__n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("__items", F.array().cast("array<string>")).alias("items"),
+        F.size(words(F.col("__text"))).cast("long").alias("n_words"),
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
