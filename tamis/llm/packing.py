@@ -14,10 +14,14 @@ from .common import settle
 
 #: Pieces of one sub-problem (expected): the bound on what a task packs at once.
 GROUP = 16_384
-ISLANDS = 2
-ROUNDS = 2
-GENERATIONS = 3
-POPULATION = 3
+ISLANDS = 3
+#: Rounds on the islands; between two of them each island's elite goes to its neighbour.
+ROUNDS = 3
+#: Generations of a round at most; a round ends when one brings nothing.
+GENERATIONS = 4
+POPULATION = 4
+#: Strings that the vocabulary lists as tokens of their own, found before words are split: fixed values.
+SPECIAL = {"<|endoftext|>": 50256}
 
 PIECES = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
 
@@ -34,8 +38,8 @@ def encoder(vocabulary: str | None = None):
 
     with open(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: own.encode_ordinary(text)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+    return lambda text: own.encode(text, allowed_special="all") if "<|" in text else own.encode_ordinary(text)
 
 
 def cut(n: int, limit: int) -> list[tuple[int, int]]:
@@ -97,6 +101,51 @@ def best_fit(lengths: np.ndarray, items: list[int], limit: int, bins: list[list[
     return bins
 
 
+def fill_well(lengths: np.ndarray, items: list[int], limit: int, rng) -> list[list[int]]:
+    """Bins that are closed one by one: the longest item left, then the one or two that leave the least room, until none fits.
+
+    Now and then (by rng) a length is passed over, so that each seed gives other bins.
+    """
+    left: dict[int, list[int]] = {}
+    for i in items:
+        left.setdefault(int(lengths[i]), []).append(i)
+    have = sum(1 << n for n in left)  # bit n: an item of n tokens is left
+    bins = []
+
+    def take(n: int) -> int:
+        nonlocal have
+        i = left[n].pop()
+        if not left[n]:
+            del left[n]
+            have ^= 1 << n
+        return i
+
+    while have:
+        n = have.bit_length() - 1
+        held, room = [take(n)], limit - n
+        while fits := have & ((1 << room + 1) - 1):
+            one = fits.bit_length() - 1
+            best = (room - one, (one,))
+            pool, tried = fits, 0
+            while pool and best[0] and tried < 64:  # the first of two, from the longest down
+                first = pool.bit_length() - 1
+                pool ^= 1 << first
+                tried += 1
+                if rng.random() < 0.1:
+                    continue
+                rest = fits & ((1 << room - first + 1) - 1)
+                if len(left[first]) < 2 and rest >> first & 1:
+                    rest ^= 1 << first
+                if rest:
+                    second = rest.bit_length() - 1
+                    best = min(best, (room - first - second, (first, second)))
+            for m in best[1]:
+                held.append(take(m))
+                room -= m
+        bins.append(held)
+    return bins
+
+
 def crossover(lengths: np.ndarray, donor: list[list[int]], receiver: list[list[int]], limit: int, rng) -> list[list[int]]:
     """Whole well-filled bins of the donor go in; bins that hold their items go, and what they held besides is best-fitted."""
     fill = np.array([lengths[b].sum() for b in donor])
@@ -121,22 +170,28 @@ def fitness(lengths: np.ndarray, bins: list[list[int]]) -> tuple[int, float]:
 
 
 def evolve(lengths: np.ndarray, limit: int, seed: int, migrants: list[list[list[int]]] = (), generations: int = GENERATIONS):
-    """The best grouping that an island finds, from best-fit decreasing, shuffled best fits and migrants."""
+    """The best grouping that an island finds in a round, from shuffled best fits and closely filled bins of its own seed, and migrants."""
     rng = np.random.default_rng(seed)
     least = -(-int(lengths.sum()) // limit)
-    people = [best_fit(lengths, list(range(len(lengths))), limit, []), *migrants]
-    if min(map(len, people)) <= least:
-        return min(people, key=len)
+    people = [[list(b) for b in m] for m in migrants]
     while len(people) < POPULATION:
-        some = rng.permutation(len(lengths))
-        half = best_fit(lengths, some[: len(some) // 2].tolist(), limit, [])
-        people.append(best_fit(lengths, some[len(some) // 2 :].tolist(), limit, half))
+        if len(people) % 2:
+            people.append(fill_well(lengths, list(range(len(lengths))), limit, rng))
+        else:  # a part is packed first, so what goes together differs
+            some = rng.permutation(len(lengths))
+            part = int(len(some) * rng.uniform(0.3, 0.7))
+            half = best_fit(lengths, some[:part].tolist(), limit, [])
+            people.append(best_fit(lengths, some[part:].tolist(), limit, half))
+    best = None
     for _ in range(generations):
         people.sort(key=lambda p: fitness(lengths, p))
-        a, b = people[0], people[int(rng.integers(1, len(people)))]
-        people = people[: POPULATION - 1] + [crossover(lengths, b, a, limit, rng), crossover(lengths, a, b, limit, rng)]
-        if min(map(len, people)) <= least:
+        now = fitness(lengths, people[0])
+        if now[0] <= least or now == best:
             break
+        best = now
+        mate = people[int(rng.integers(1, len(people)))]
+        children = [crossover(lengths, mate, people[0], limit, rng), crossover(lengths, people[0], mate, limit, rng)]
+        people = people[: POPULATION - 2] + children
     return min(people, key=lambda p: fitness(lengths, p))
 
 
@@ -145,10 +200,13 @@ def pack(pieces: DataFrame, limit: int = 2048, group: int = GROUP, islands: int
 
     Pieces are dealt by hash into sub-problems of some `group` rows, so a task
     holds a bounded number of lengths at any input size, and a hot document
-    or source is spread.  Each sub-problem is packed by `islands` islands; in
-    every later round an island starts from the elite of its neighbour.  A
-    sub-problem whose sequences reach the lower bound leaves at once.  Loss
-    from splitting: less than one sequence a sub-problem.
+    or source is spread.  Each sub-problem is first packed by best-fit
+    decreasing; one whose sequences reach the lower bound leaves at once, as
+    nothing can be better.  The others go to `islands` islands for `rounds`
+    rounds.  In the first, an island evolves that packing and shuffled ones of
+    its own seed; then each starts from its own elite and its neighbour's.  The
+    best elite of all is the result.  Loss from splitting: less than one
+    sequence a sub-problem.
 
     Repeated rows are packed as often as they occur; an empty table gives an
     empty result.
@@ -157,49 +215,57 @@ def pack(pieces: DataFrame, limit: int = 2048, group: int = GROUP, islands: int
     keyed = pieces.withColumn("sub", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(subs)).cast("int"))
     kind = pieces.schema["doc_id"].dataType.simpleString()
     out = f"{PIECES.format(kind=kind)}, sub int, island int, sequence_id long, offset long, done boolean"
+    order = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
-    def islanders(pdf: pd.DataFrame, step: int) -> pd.DataFrame:
-        """One sub-problem and island; from the second round on, bin numbers of the neighbour's elite come along."""
-        pdf = pdf.sort_values(["doc_id", "piece", "start", "length", "ids_crc32"], ignore_index=True, kind="stable")
+    def bins_of(pdf: pd.DataFrame) -> list[list[int]]:
+        by: dict[int, list[int]] = {}
+        for i, s in enumerate(pdf["sequence_id"]):
+            by.setdefault(int(s), []).append(i)
+        return list(by.values())
+
+    def placed(pdf: pd.DataFrame, bins: list[list[int]]) -> pd.DataFrame:
         lengths = pdf["length"].to_numpy()
-        island, sub = int(pdf["island"].iloc[0]), int(pdf["sub"].iloc[0])
-        migrants = []
-        if step:
-            by: dict[int, list[int]] = {}
-            for i, s in enumerate(pdf["sequence_id"]):
-                by.setdefault(int(s), []).append(i)
-            migrants = [list(by.values())]
-        bins = evolve(lengths, limit, 1_000_003 * sub + 101 * island + step, migrants)
         seq, off = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
         for k, b in enumerate(bins):
-            seq[b] = (sub << 32) + k
+            seq[b] = (int(pdf["sub"].iloc[0]) << 32) + k
             off[b] = np.cumsum(lengths[b]) - lengths[b]
-        pdf["sequence_id"], pdf["offset"] = seq, off
-        pdf["done"] = len(bins) <= -(-int(lengths.sum()) // limit)
-        return pdf[["doc_id", "piece", "start", "length", "ids_crc32", "sub", "island", "sequence_id", "offset", "done"]]
-
-    def round_of(df: DataFrame, step: int) -> DataFrame:
-        return df.groupBy("sub", "island").applyInPandas(lambda pdf: islanders(pdf, step), out)
-
-    found = settle(round_of(keyed.withColumn("island", F.lit(0)), 0), "packing-0")
-    results = [found.where("done")]
-    open_ = found.where("not done")
-    for step in range(1, rounds):
-        # the elite of each island goes to the next one; the first round's single island seeds them all
-        if step == 1:
-            sent = open_.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
-        else:
-            sent = open_.withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands)))
-        open_ = settle(round_of(sent.drop("offset", "done"), step), f"packing-{step}")
-    bins = open_.groupBy("sub", "island").agg(F.countDistinct("sequence_id").alias("n"))
+        done = len(bins) <= -(-int(lengths.sum()) // limit)
+        return pdf.assign(sequence_id=seq, offset=off, done=done)[[*order, "sub", "island", "sequence_id", "offset", "done"]]
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, ignore_index=True, kind="stable").assign(island=0)
+        return placed(pdf, best_fit(pdf["length"].to_numpy(), list(range(len(pdf))), limit, []))
+
+    def islanders(pdf: pd.DataFrame, step: int) -> pd.DataFrame:
+        """One sub-problem on one island; rows come once for each elite, told by `origin`."""
+        elites = [p.sort_values(order, ignore_index=True, kind="stable") for _, p in pdf.groupby("origin", sort=True)]
+        mine = elites[0]
+        seed = 1_000_003 * int(mine["sub"].iloc[0]) + 101 * int(mine["island"].iloc[0]) + step
+        return placed(mine, evolve(mine["length"].to_numpy(), limit, seed, [bins_of(p) for p in elites]))
+
+    found = settle(keyed.groupBy("sub").applyInPandas(first, out), "packing-0")
+    done, open_ = found.where("done"), found.where("not done").drop("done", "offset")
+    if open_.isEmpty():
+        return done.select(*order, "sequence_id", "offset")
+    # the first round's rows: best-fit decreasing, on every island
+    sent = open_.withColumn("origin", F.lit(0)).withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
+    for step in range(1, rounds + 1):
+        elite = settle(sent.groupBy("sub", "island").applyInPandas(lambda pdf, step=step: islanders(pdf, step), out), f"packing-{step}")
+        own = elite.drop("done", "offset").withColumn("origin", F.lit(0))
+        moved = own.withColumns({"island": F.pmod(F.col("island") + 1, F.lit(islands)), "origin": F.lit(1)})
+        sent = own.unionByName(moved) if islands > 1 else own
+    bins = elite.groupBy("sub", "island").agg(F.countDistinct("sequence_id").alias("n"))
     best = bins.groupBy("sub").agg(F.min(F.struct("n", "island"))["island"].alias("island"))
-    results.append(open_.join(best, ["sub", "island"], "left_semi"))
-    return results[0].unionByName(results[1]).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
-    )
+    chosen = elite.join(best, ["sub", "island"], "left_semi")
+    return done.unionByName(chosen.select(*done.columns)).select(*order, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenise, cut and pack; null text: empty, one piece with the closing id alone."""
+    """Tokenise, cut and pack every row.
+
+    Null text: empty, one piece with the closing id alone; rows that repeat an
+    id, or have none, are packed like others; an empty table gives an empty
+    result; other columns are ignored, whatever their names.
+    """
     packed = pack(settle(tokenised(docs, limit, id_col, text_col), "packing-pieces"), limit)
     return packed.withColumnRenamed("doc_id", id_col)
