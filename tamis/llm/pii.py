@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, joined, settle
+from .common import BROADCAST_KEYS, restrict, settle
 
 KINDS = ("email", "ip", "card", "phone")
 #: Each finds the leftmost non-overlapping matches of the plain pattern in linear time:
@@ -19,15 +19,20 @@ PATTERNS = {
 #: A text without it has no match that holds.
 NEEDS = {"email": "@[A-Za-z0-9-]+[.]", "ip": r"[0-9][.][0-9]+[.][0-9]+[.][0-9]", "card": "[0-9](?:[ -]?[0-9]){12}", "phone": r"\+[0-9]"}
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: Characters before an entity that its terms are taken from, and how many of the nearest.
-CONTEXT = 48
-NEAREST = 3
-#: A term is sanitised if so many different contexts have it, if it stands before an entity this often
-#: (share of its occurrences), and if knowing it raises the odds of an entity by so many bits.
+#: Strings of much information (a letter, a digit, 20 characters at least): keys, tokens, digests.  Protected, but no base kind.
+SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}"
+#: Ends of sentences, and the words of a run that a longer sentence is cut into.
+SENTENCE = r"(?<=[.!?])\s+|[\r\n]+"
+PARTS = r"[\s,;|]+"
+RUN = 64
+#: Different sentences that a term and an entity must share.
 SUPPORT = 5
-SHARE = 0.5
-BITS = 4.0
+#: Share of an entity's information that a term may disclose; from REMOVE on it is removed, below it generalised.
+DISCLOSE = 0.5
+REMOVE = 0.9
 TERM = r"\p{L}+"
+#: Matches that one step of the running sums takes, so that no array is copied over and over.
+STEP = 256
 
 
 def luhn(digits: Column) -> Column:
@@ -49,20 +54,35 @@ def holds(kind: str, match: Column) -> Column:
     return F.length(digits).between(9, 15) if kind == "phone" else F.lit(True)
 
 
-def places(text: Column, pattern: str, keep) -> Column:
-    """(start, end) of the matches that keep accepts, in code points; what stands between matches gives the offsets."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
-    pairs = F.filter(pairs, lambda p: p["m"].isNotNull())
+def chunks(items: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(STEP)), lambda i: F.slice(items, i + 1, STEP))
+
+
+def places(text: Column, pattern: str | Column, keep) -> Column:
+    """(start, end) of the matches that keep accepts, in code points; what stands between matches gives the offsets.
+
+    Offsets are running sums within chunks of STEP matches, from running sums
+    of the chunks, so the work grows with the number of matches.
+    """
+    form = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found, gaps = F.regexp_extract_all(text, form, F.lit(0)), F.split(text, form, -1)
+    pairs = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("n"), keep(m).alias("k")))
+    parts = chunks(F.filter(pairs, lambda p: p["n"].isNotNull()))
     none = F.array().cast("array<struct<start:int,end:int>>")
 
+    def begin(acc, c):
+        size = F.aggregate(c, F.lit(0), lambda a, p: a + p["g"] + p["n"])
+        return F.struct((acc["at"] + size).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
     def step(acc, p):
         start = acc["at"] + p["g"]
-        end = start + F.length(p["m"])
+        end = start + p["n"]
         new = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(keep(p["m"]), F.concat(acc["out"], new)).otherwise(acc["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when(p["k"], F.concat(acc["out"], new)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
+    begins = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), begin)["out"]
+    each = F.zip_with(parts, begins, lambda c, at: F.aggregate(c, F.struct(at.alias("at"), none.alias("out")), step)["out"])
+    return F.flatten(each)
 
 
 def entities(text: Column) -> Column:
@@ -76,61 +96,110 @@ def entities(text: Column) -> Column:
     return F.concat(*[of(k) for k in KINDS])
 
 
+def protected(text: Column) -> Column:
+    """Entities and secrets (kind, start, end)."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    spans = F.when(text.rlike(SECRET), places(text, SECRET, lambda m: F.lit(True))).otherwise(none)
+    secrets = F.transform(spans, lambda s: F.struct(F.lit("secret").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return F.concat(entities(text), secrets)
+
+
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def disclosing(base: DataFrame, found: DataFrame) -> DataFrame:
-    """(term): terms whose nearness to an entity exceeds the thresholds, from counts over the whole corpus.
+def sentences(texts: DataFrame) -> DataFrame:
+    """(s) of each sentence, or run of RUN parts of one."""
+    whole = texts.select(F.explode(F.split("text", SENTENCE)).alias("s")).where("s <> ''").withColumn("w", F.split("s", PARTS))
+    runs = F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(RUN)), lambda i: F.array_join(F.slice("w", i + 1, RUN), " "))
+    return whole.select(F.explode(F.when(F.size("w") > RUN, runs).otherwise(F.array("s"))).alias("s"))
+
 
-    near: how often the term is one of the NEAREST before an entity; seen: how
-    often it occurs at all.  Disclosed bits: log2((near / seen) / (all near /
-    all seen)).  Support counts different contexts, so copies of one text
-    don't make its words disclosing.
+def disclosing(base: DataFrame, holders: DataFrame) -> DataFrame:
+    """(term, kind, share): terms that disclose more of an entity's information than the thresholds allow, by corpus co-occurrence.
+
+    holders: texts that have an entity.  An entity is a kind as such (that
+    there is an address) and each value (which address it is).  A word stands
+    with an entity if it is in the same sentence, on either side; sentences of
+    more than RUN parts are taken in runs.  Over all words of the corpus, let p
+    be the share that stands with e.  Knowing that one stands with e is worth
+    -log2 p bits; a term t whose occurrences stand with e at the rate r
+    discloses log2(r / p) of them.  The share of the two is compared with
+    DISCLOSE.  r is taken a standard error lower (a support correction), counts
+    equal sentences with e once, so copies of a text don't make its words
+    disclosing, and needs SUPPORT different sentences.
     """
-    spots = found.select(F.explode("contexts").alias("context")).groupBy("context").agg(F.count(F.lit(1)).alias("n"))
-    words = F.reverse(terms(F.col("context")))
-    near = spots.select("n", F.explode(F.array_distinct(F.slice(words, 1, NEAREST))).alias("term"))
-    near = near.groupBy("term").agg(F.sum("n").alias("near"), F.count(F.lit(1)).alias("support"))
-    near = settle(near, "pii-near")
-    could = settle(near.where(F.col("support") >= SUPPORT), "pii-could")
-    n = could.count()
+    cut = sentences(holders).distinct()
+    spans = protected(F.col("s"))
+    held = cut.withColumn("spans", spans).where(F.size("spans") > 0)
+    value = F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), F.substring(F.col("s"), x["start"] + 1, x["end"] - x["start"]).alias("value")))
+    named = F.array_distinct(F.concat(value, F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), F.lit(None).cast("string").alias("value")))))
+    # the entities' own letters are no context
+    bare = F.regexp_replace(F.regexp_replace("s", PATTERNS["email"], " "), SECRET, " ")
+    rows = held.select(named.alias("es"), terms(bare).alias("w"))
+    rows = settle(rows.where(F.size("w") > 0), "pii-sentences")
+    all_words = base.agg(F.sum(F.size(terms(F.col("text"))))).first()[0] or 1
+    mass = rows.select(F.explode("es").alias("e"), F.size("w").alias("n")).groupBy("e").agg(F.sum("n").alias("mass"), F.count(F.lit(1)).alias("k"))
+    mass = mass.where(F.col("k") >= SUPPORT).select("e", "mass")
+    flat = rows.select("es", "w", F.explode(F.array_distinct("w")).alias("term"))
+    often = F.size(F.filter("w", lambda x: x == F.col("term")))
+    near = flat.select("term", F.explode("es").alias("e"), often.alias("n")).groupBy("term", "e").agg(F.sum("n").alias("near"), F.count(F.lit(1)).alias("support"))
+    could = settle(near.where(F.col("support") >= SUPPORT).join(mass, "e"), "pii-could")
+    names = settle(could.select("term").distinct(), "pii-names")
+    n = names.count()
     if not n:
-        return could.select("term")
-    side = F.broadcast(could.select("term")) if n <= BROADCAST_KEYS // 4 else could.select("term")
-    spoken = base.select(terms(F.col("text")).alias("w"))
-    seen = spoken.select(F.explode("w").alias("term")).join(side, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("seen"))
-    all_seen = spoken.select(F.sum(F.size("w")).alias("s")).first()["s"] or 1
-    all_near = near.agg(F.sum("near").alias("s")).first()["s"] or 1
-    share = F.col("near") / F.col("seen")
-    bits = F.log2(share * F.lit(float(all_seen)) / F.lit(float(all_near)))
-    return could.join(seen, "term").where((share >= SHARE) & (bits >= BITS)).select("term")
+        return could.select("term", "e.kind", F.lit(0.0).alias("share"))
+    side = F.broadcast(names) if n <= BROADCAST_KEYS // 4 else names
+    seen = base.select(F.explode(terms(F.col("text"))).alias("term")).join(side, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("seen"))
+    rate = F.greatest(F.col("near") - F.sqrt("near"), F.lit(0.0)) / F.col("seen")
+    p = F.col("mass") / F.lit(float(all_words))
+    share = F.when((rate > 0) & (p < 1), F.log2(rate / p) / -F.log2(p)).otherwise(0.0)
+    found = could.join(seen, "term").select("term", "e.kind", share.alias("share")).where(F.col("share") >= DISCLOSE)
+    top = F.max(F.struct("share", "kind")).alias("m")
+    return found.groupBy("term").agg(top).select("term", F.col("m.kind").alias("kind"), F.col("m.share").alias("share"))
 
 
 def sanitised_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, spans (kind, start, end): entities, then kind `term` for every occurrence of a disclosing term.
+    """id, spans (kind, start, end): entities, secrets, then kind `term` (generalised) or `removed` for each disclosing term.
 
-    Defined results: null text counts as empty and has no span; ids may be
-    null; rows that repeat an id are one document if their texts are equal (an
-    output row for each); an empty table gives an empty result; other columns
-    are ignored, whatever their names.
+    Defined results: null text counts as empty and has no span; spans depend on
+    the text alone, so rows with null ids are judged like others and rows that
+    repeat an id come out again, each with its own text's spans; an empty
+    table gives an empty result; other columns are ignored, whatever their
+    names.
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = base.select("id", "text", entities(F.col("text")).alias("spans"))
-    left = lambda s: F.substring(F.col("text"), F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
-    found = settle(spans.select("id", "spans", F.transform("spans", left).alias("contexts")), "pii-entities")
-    flagged = settle(disclosing(base, found), "pii-terms")
+    return found_spans(base).select(F.col("id").alias(id_col), "spans")
+
+
+def found_spans(base: DataFrame) -> DataFrame:
+    """base (id, text, others) without its text, and spans with what a disclosing term is generalised to."""
+    none = F.lit(None).cast("string")
+    first = F.transform(protected(F.col("text")), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), none.alias("to")))
+    rest = [c for c in base.columns if c != "text"]
+    found = settle(base.select(*rest, F.md5("text").alias("__key"), first.alias("spans")), "pii-entities")
+    holders = found.where(F.size("spans") > 0).select("__key").distinct()
+    holders = settle(holders, "pii-holders")
+    keyed = base.withColumn("__key", F.md5("text"))
+    flagged = settle(disclosing(base, restrict(keyed, holders, "__key", holders.count())), "pii-terms")
     n = flagged.count()
-    out = found.select("id", "spans")
-    if n:
-        side = F.broadcast(flagged) if n <= BROADCAST_KEYS // 4 else flagged
-        words = base.select("id", "text", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).join(side, "term")
-        mine = words.groupBy("id", "text").agg(F.collect_set("term").alias("flagged"))
-        at = places(F.col("text"), TERM, lambda m: F.array_contains("flagged", F.lower(m)))
-        more = mine.select("id", F.transform(at, lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("more"))
-        more = settle(more.dropDuplicates(["id"]), "pii-more")
-        out = joined(out, more, ["id"]).select("id", F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.concat("spans", "more")).alias("spans"))
-    return out.withColumnRenamed("id", id_col)
+    if not n:
+        return found.drop("__key")
+    side = F.broadcast(flagged) if n <= BROADCAST_KEYS // 4 else flagged
+    told = F.struct(F.when(F.col("share") >= REMOVE, "removed").otherwise("term").alias("kind"), F.when(F.col("share") < REMOVE, F.col("kind")).alias("to"))
+    words = keyed.select("__key", "text", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).join(side, "term")
+    mine = words.groupBy("__key", "text").agg(F.map_from_entries(F.collect_set(F.struct(F.col("term"), told.alias("told")))).alias("told"))
+    # this text's own terms: letters alone, so they need no quoting
+    form = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.array_sort(F.map_keys("told")), "|"), F.lit(r")(?!\p{L})"))
+    at = places(F.col("text"), form, lambda m: F.map_contains_key("told", F.lower(m)))
+
+    def span(s):
+        t = F.try_element_at("told", F.lower(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])))
+        return F.struct(t["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), t["to"].alias("to"))
+
+    more = settle(mine.select(F.col("__key").alias("__mine"), F.transform(at, span).alias("more")).dropDuplicates(["__mine"]), "pii-more")
+    both = found.join(more, F.col("__key") == F.col("__mine"), "left")
+    return both.select(*rest, F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.concat("spans", "more")).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -138,20 +207,36 @@ def listed(spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with text_col sanitised: every span becomes its kind in brackets; overlapping spans become the first one's."""
-    spans = sanitised_spans(docs, id_col, text_col).select(F.col(id_col).alias("__id"), F.col("spans").alias("__spans")).dropDuplicates(["__id"])
-    both = docs.join(spans, docs[id_col].eqNullSafe(spans["__id"]), "left")
-    text = F.col(text_col)
-    by_start = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    """docs with text_col sanitised, all columns kept.
+
+    Entities and secrets become their kind in brackets.  A disclosing term is
+    generalised to the kind that it discloses (`[email-related]`), or removed
+    (`[removed]`) if it discloses nearly all; of overlapping spans the first one
+    counts, of those with one start the longest.  Null texts stay null; rows
+    with null or repeated ids are handled each by its own text.
+    """
+    every = F.struct(*[docs[c] for c in docs.columns]).alias("id")
+    base = docs.select(every, F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    both = found_spans(base)
+    text = F.col("id")[text_col]
+    by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"), s["to"].alias("to"))))
+    parts = chunks(by_start)
+    reached = F.transform(parts, lambda c: F.greatest(F.array_max(F.transform(c, lambda s: -s["back"])), F.lit(0)))
+
+    def begin(acc, end):
+        return F.struct(F.greatest(acc["at"], end).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    begins = F.aggregate(reached, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), begin)["out"]
 
     def step(acc, s):
         fresh = s["start"] >= acc["at"]
-        between = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], between, F.lit("["), s["kind"], F.lit("]"))).otherwise(acc["out"]).alias("out"),
-        )
-
-    done = F.aggregate(by_start, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    clean = F.when(F.size("__spans") > 0, F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
-    return both.withColumn(text_col, clean).drop("__id", "__spans")
+        word = F.when(s["kind"] == "term", F.concat(F.lit("["), s["to"], F.lit("-related]"))).otherwise(F.concat(F.lit("["), s["kind"], F.lit("]")))
+        new = F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), word)
+        return F.struct(F.greatest(acc["at"], -s["back"]).alias("at"), F.when(fresh, F.concat(acc["out"], new)).otherwise(acc["out"]).alias("out"))
+
+    none = F.array().cast("array<string>")
+    made = F.zip_with(parts, begins, lambda c, at: F.aggregate(c, F.struct(at.alias("at"), none.alias("out")), step)["out"])
+    last = F.array_max(reached)
+    clean = F.concat(F.array_join(F.flatten(made), ""), F.substring(text, last + 1, F.length(text)))
+    done = F.when(F.size("spans") > 0, clean).otherwise(text)
+    return both.select(*[done.alias(c) if c == text_col else F.col("id")[c].alias(c) for c in docs.columns])
