@@ -15,32 +15,55 @@ from .common import sampled
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
-#: Documents that the field is fitted on, at most.
-TRAIN_ROWS = 3000
+#: Documents that the field is fitted on, at most; each with its whole text.
+TRAIN_ROWS = 700
 #: Words of each language's lexicon.
 LEXICON = 200
 #: Training sequences: this many words of a document, then as many of another, so that switches are seen.
 RUN = 12
 MEMORY = 400_000
 #: Words that a task decodes at once.
-CHUNK = 300_000
+CHUNK = 600_000
 
 
 def words(text: str | None) -> list[str]:
-    return [w for w in WORD.findall((text or "").lower()) if w.isalpha()]
+    """Runs of letters, lower-cased; other numerals (as in m²) are left out of their run."""
+    found = WORD.findall((text or "").lower())
+    if not found or "".join(found).isalpha():
+        return found
+    return [k for w in found if (k := w if w.isalpha() else "".join(filter(str.isalpha, w)))]
+
+
+class Hashed(dict):
+    """gram -> its bucket under a kind of feature; grams come again and again, so each is hashed once."""
+
+    def __init__(self, kind: str) -> None:
+        super().__init__()
+        self.kind = kind
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) >= MEMORY:
+            self.clear()
+        k = self[gram] = zlib.crc32(f"{self.kind}{gram}".encode("utf-8", "replace")) % BUCKETS
+        return k
+
+
+PREFIX, SUFFIX, INNER, LISTED = Hashed("p"), Hashed("s"), Hashed("n"), Hashed("l")
 
 
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
     """Affixes, inner n-grams, the whole word, and the lexicons that list it (a bit each)."""
     s = f"<{word}>"
-    keys = [f"w{word}", *(f"p{word[:n]}" for n in (1, 2, 3)), *(f"s{word[-n:]}" for n in (1, 2, 3))]
-    keys += [f"n{s[i : i + n]}" for n in (2, 3) for i in range(len(s) - n + 1)]
+    keys = [zlib.crc32(f"w{word}".encode("utf-8", "replace")) % BUCKETS]
+    keys += [PREFIX[word[:n]] for n in (1, 2, 3)]
+    keys += [SUFFIX[word[-n:]] for n in (1, 2, 3)]
+    keys += [INNER[s[i : i + n]] for n in (2, 3) for i in range(len(s) - n + 1)]
     seen, bit = lexicon.get(word, 0), 0
     while seen >> bit:
         if seen >> bit & 1:
-            keys.append(f"l{bit}")
+            keys.append(LISTED[str(bit)])
         bit += 1
-    return [zlib.crc32(k.encode("utf-8", "replace")) % BUCKETS for k in keys]
+    return keys
 
 
 def forward_backward(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray, want_pairs: bool = False):
@@ -77,7 +100,7 @@ def forward_backward(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray, w
     return post, (pair / pair.sum((1, 2), keepdims=True)).sum(0)
 
 
-def fit(texts: list[str], labels: list[int], kinds: int, epochs: int = 25, rate: float = 0.5):
+def fit(texts: list[str], labels: list[int], kinds: int, epochs: int = 15, rate: float = 0.5):
     """(feature weights, transitions, lexicon) by gradient ascent (scaled by past gradients) on the field's likelihood."""
     parts = [words(t) for t in texts]
     counts = [Counter() for _ in range(kinds)]
@@ -87,7 +110,7 @@ def fit(texts: list[str], labels: list[int], kinds: int, epochs: int = 25, rate:
     for c, n in enumerate(counts):
         for w, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
             lexicon[w] = lexicon.get(w, 0) | 1 << c
-    runs = [(w[s : s + RUN], c) for w, c in zip(parts, labels, strict=True) for s in range(0, min(len(w), 10 * RUN), RUN)]
+    runs = [(w[s : s + RUN], c) for w, c in zip(parts, labels, strict=True) for s in range(0, len(w), RUN)]
     rng = np.random.default_rng(1)
     rng.shuffle(order := np.arange(len(runs)))
     tokens = [w for i in order for w in runs[i][0]]
@@ -132,20 +155,32 @@ def train(labelled: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", t
 
 
 class Scores(dict):
-    """word -> row of a table of label scores; rows beyond MEMORY live for one chunk only."""
+    """word -> row of a table of label scores, made for all new words at once."""
 
     def __init__(self, weights: np.ndarray, lexicon: dict[str, int]) -> None:
         super().__init__()
-        self.weights, self.lexicon = weights, lexicon
-        self.table = np.zeros((1024, weights.shape[1]), np.float32)
+        self.weights, self.lexicon, self.fresh = weights, lexicon, []
+        self.table = np.zeros((0, weights.shape[1]), np.float32)
 
     def __missing__(self, word: str) -> int:
         k = self[word] = len(self)
-        if k == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[k] = self.weights[features(word, self.lexicon)].sum(0)
+        self.fresh.append(features(word, self.lexicon))
         return k
 
+    def rows(self, ids: np.ndarray) -> np.ndarray:
+        if self.fresh:
+            width = np.array([len(f) for f in self.fresh])
+            flat = np.fromiter((k for f in self.fresh for k in f), int, int(width.sum()))
+            self.table = np.concatenate([self.table, np.add.reduceat(self.weights[flat], np.cumsum(width) - width)])
+            self.fresh = []
+        return self.table[ids].astype(float)
+
+    def forget(self) -> None:
+        """Beyond MEMORY words a task starts anew, so its memory stays bounded."""
+        if len(self) > MEMORY:
+            self.clear()
+            self.table = self.table[:0]
+
 
 def languages(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score (mean posterior of that language over the words) and word_langs of every whole text.
@@ -166,15 +201,14 @@ def languages(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "t
             def decode(part, out=out):
                 sizes = np.array([len(w) for _, w in part])
                 ids = np.fromiter((scores[w] for _, ws in part for w in ws), int, int(sizes.sum()))
-                post = forward_backward(scores.table[ids].astype(float), sizes, trans)
+                post = forward_backward(scores.rows(ids), sizes, trans)
                 begin = np.cumsum(sizes) - sizes
                 mean = np.add.reduceat(post, begin) / sizes[:, None]
                 top = post.argmax(1)
                 for (k, _), m, s, n in zip(part, mean, begin, sizes, strict=True):
                     c = np.bincount(top[s : s + n], minlength=len(langs))
                     out[k] = (langs[int(m.argmax())], float(min(1.0, m.max())), {lang: int(v) for lang, v in zip(langs, c, strict=True) if v})
-                if len(scores) > MEMORY:
-                    scores.clear()
+                scores.forget()
 
             part, held_words = [], 0
             for k, text in enumerate(b["text"]):
