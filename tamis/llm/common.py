@@ -19,12 +19,15 @@ BROADCAST_KEYS = 400_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, a laptop) a local folder is used, which
-    is right only because driver and executors are then one process.
+    Where the setting is absent, a local folder is used if driver and
+    executors are one process (tests, a laptop); a cluster without it is an
+    error, as each executor would write to its own disk.
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not (spark.sparkContext.master or "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = os.path.join(tempfile.gettempdir(), "tamis-checkpoints")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(own)

@@ -236,12 +236,15 @@ def pack(pieces: DataFrame, limit: int = 2048, group: int = GROUP, islands: int
         pdf = pdf.sort_values(order, ignore_index=True, kind="stable").assign(island=0)
         return placed(pdf, best_fit(pdf["length"].to_numpy(), list(range(len(pdf))), limit, []))
 
-    def islanders(pdf: pd.DataFrame, step: int) -> pd.DataFrame:
-        """One sub-problem on one island; rows come once for each elite, told by `origin`."""
-        elites = [p.sort_values(order, ignore_index=True, kind="stable") for _, p in pdf.groupby("origin", sort=True)]
-        mine = elites[0]
-        seed = 1_000_003 * int(mine["sub"].iloc[0]) + 101 * int(mine["island"].iloc[0]) + step
-        return placed(mine, evolve(mine["length"].to_numpy(), limit, seed, [bins_of(p) for p in elites]))
+    def islanders(step: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            """One sub-problem on one island; rows come once for each elite, told by `origin`."""
+            elites = [p.sort_values(order, ignore_index=True, kind="stable") for _, p in pdf.groupby("origin", sort=True)]
+            mine = elites[0]
+            seed = 1_000_003 * int(mine["sub"].iloc[0]) + 101 * int(mine["island"].iloc[0]) + step
+            return placed(mine, evolve(mine["length"].to_numpy(), limit, seed, [bins_of(p) for p in elites]))
+
+        return run
 
     found = settle(keyed.groupBy("sub").applyInPandas(first, out), "packing-0")
     done, open_ = found.where("done"), found.where("not done").drop("done", "offset")
@@ -250,7 +253,7 @@ def pack(pieces: DataFrame, limit: int = 2048, group: int = GROUP, islands: int
     # the first round's rows: best-fit decreasing, on every island
     sent = open_.withColumn("origin", F.lit(0)).withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
     for step in range(1, rounds + 1):
-        elite = settle(sent.groupBy("sub", "island").applyInPandas(lambda pdf, step=step: islanders(pdf, step), out), f"packing-{step}")
+        elite = settle(sent.groupBy("sub", "island").applyInPandas(islanders(step), out), f"packing-{step}")
         own = elite.drop("done", "offset").withColumn("origin", F.lit(0))
         moved = own.withColumns({"island": F.pmod(F.col("island") + 1, F.lit(islands)), "origin": F.lit(1)})
         sent = own.unionByName(moved) if islands > 1 else own

@@ -20,7 +20,7 @@ PATTERNS = {
 NEEDS = {"email": "@[A-Za-z0-9-]+[.]", "ip": r"[0-9][.][0-9]+[.][0-9]+[.][0-9]", "card": "[0-9](?:[ -]?[0-9]){12}", "phone": r"\+[0-9]"}
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Strings of much information (a letter, a digit, 20 characters at least): keys, tokens, digests.  Protected, but no base kind.
-SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}"
+SECRET = r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{20,}+"
 #: Ends of sentences, and the words of a run that a longer sentence is cut into.
 SENTENCE = r"(?<=[.!?])\s+|[\r\n]+"
 PARTS = r"[\s,;|]+"

@@ -1,5 +1,6 @@
 from collections import Counter
 from hashlib import sha256
+from zlib import crc32
 
 from pyspark.sql import functions as F
 
@@ -23,8 +24,10 @@ def test_exact_dedup(spark):
 
 
 def test_shards_are_even_and_gapless(spark):
-    df = spark.range(1003).selectExpr("id doc_id", "if(id % 7 = 0, null, repeat('é', int(id % 5))) text")
+    df = spark.range(1003).selectExpr("if(id % 50 = 0, null, id div 2) doc_id", "if(id % 7 = 0, null, repeat('é', int(id % 5))) text", "id slot")
     rows = shard_rows(df).collect()
+    said = Counter((r.doc_id, r.size, r.text_crc32) for r in rows)
+    assert said == Counter((r.doc_id, len((r.text or "").encode()) + 1, crc32((r.text or "").encode())) for r in df.collect())
     per = Counter(r.shard for r in rows)
     assert len(rows) == 1003 and max(per.values()) - min(per.values()) <= 1
     for s in per:
@@ -47,6 +50,26 @@ def test_contamination_against_brute_force(spark):
     }
 
 
+def test_contamination_of_a_long_monotonous_text(spark):
+    import random
+
+    rng = random.Random(1)
+    text = [rng.choice("abcde") for _ in range(20_000)]
+    rows = [(i, " ".join(rng.choice("abcde") for _ in range(10))) for i in range(800)] + [(900, "a b"), (901, "A"), (902, "zz yy xx")]
+    docs = spark.createDataFrame([(1, " ".join(text), 1, 2), (2, "x", 1, 2), (2, "A zz. Yy xx", 1, 2), (None, "a b c", 1, 2)], "doc_id long, text string, n int, wid int")
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    hit, found = set(), set()
+    for i, t in rows:
+        w = t.lower().split()
+        for s in range(len(text) - len(w) + 1):
+            if text[s : s + len(w)] == w:
+                hit |= set(range(s, s + len(w)))
+                found.add(str(i))
+    got = {(r.doc_id, r.n_words): (r.n_hit, r["items"]) for r in contamination(docs, items).collect()}
+    assert got == {(1, 20_000): (len(hit), sorted(found)), (2, 1): (0, []), (2, 4): (4, ["901", "902"]), (None, 3): (2, ["900", "901"])}
+    assert contamination(docs, items.limit(0)).where("n_hit > 0").count() == contamination(docs.limit(0), items).count() == 0
+
+
 def test_licences(spark):
     docs = [(1, "Foo bar.\nReleased under the MIT License.\nX. All rights reserved."), (2, None), (3, "mit license")]
     got = {r.doc_id: r.licences for r in licences(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
