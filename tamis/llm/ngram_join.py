@@ -13,7 +13,7 @@ from .words import Shingler, mix
 #: Sets that a task knows again (equal ones count once there, which saves work only).
 MEMORY = 500_000
 #: Tokens that a task holds before it hands their counts on.
-HELD = 1_500_000
+HELD = 800_000
 #: Tokens of one bin of the counts (expected): what a task that sums a bin holds.
 BIN = 1 << 22
 #: A token is frequent if so many sets have it ...
@@ -24,8 +24,9 @@ FREQUENT_SHARE = 2_000_000
 PAIRED = 300
 #: Buckets of more members are compared by blocks instead of row by row.
 SMALL = 64
-#: Members of a block.
+#: Members of a block, and their tokens, about: what a task that compares two blocks holds, long texts or not.
 BLOCK = 256
+BLOCK_TOKENS = 200_000
 #: Rare tokens shared by two sets that the bound on places of frequent tokens allows for; with more, rare tokens decide.
 SLACK = 1
 
@@ -117,7 +118,7 @@ def index(reps: DataFrame, frequent: np.ndarray, bits: int, size: int, percent:
 
     def run(batches):
         shingler, often = Shingler(size), held.value
-        for b in batches:
+        for b in (batch.slice(at, 1000) for batch in batches for at in range(0, batch.num_rows, 1000)):
             keys, ids, ns, often_made, places, fs = [], [], [], [], [], []
             for doc, s in zip(b.column(0).to_pylist(), shingler.sets(b.column(1)), strict=True):
                 n = len(s)
@@ -415,8 +416,9 @@ def near_duplicates(
 
     # step 4
     if not held.isEmpty():
-        sizes = held.groupBy("least").agg(F.count(F.lit(1)).alias("k"))
-        parts = F.ceil(F.col("k") / BLOCK)
+        sizes = held.join(reps.select(F.col("rep").alias("id"), "n"), "id")
+        sizes = sizes.groupBy("least").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("tokens"))
+        parts = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS))
         placed = held.join(sizes, "least").withColumn("block", F.xxhash64("least", F.pmod(F.xxhash64("id"), parts.cast("long"))))
         placed = settle(placed.select("id", "block", "larges"), "ngram-blocks")
         at = placed.select(F.explode("larges").alias("key"), "block").distinct()

@@ -92,7 +92,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
                 use = inside(bounds, len(every))
                 held.append((grams(every)[use], np.repeat(kind, np.diff(bounds))[use].astype(np.int8)))
                 size += len(every)
-                if size > 4_000_000:  # a task's memory stays bounded
+                if size > 2_000_000:  # a task's memory stays bounded
                     yield summed()
                     held, size = [], 0
         if held:
