@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tamis.functions.text import edit_similarity, text_key
+from tamis.functions.similarity import edit_similarity
+from tamis.functions.text import text_key
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
