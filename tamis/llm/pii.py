@@ -129,9 +129,8 @@ def disclosing(base: DataFrame, holders: DataFrame) -> DataFrame:
     equal sentences with e once, so copies of a text don't make its words
     disclosing, and needs SUPPORT different sentences.
     """
-    cut = sentences(holders).distinct()
-    spans = protected(F.col("s"))
-    held = cut.withColumn("spans", spans).where(F.size("spans") > 0)
+    # settled, so that the spans are found once and not again wherever they are used
+    held = settle(sentences(holders).distinct().select("s", protected(F.col("s")).alias("spans")), "pii-held").where(F.size("spans") > 0)
     value = F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), F.substring(F.col("s"), x["start"] + 1, x["end"] - x["start"]).alias("value")))
     named = F.array_distinct(F.concat(value, F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), F.lit(None).cast("string").alias("value")))))
     # the entities' own letters are no context
