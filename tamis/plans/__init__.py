@@ -1,7 +1,7 @@
 """Queries over the test tables, each with its DuckDB SQL."""
 
-from . import catalog, names
+from . import catalog, decision, names
 
-_PARTS = (names, catalog)
+_PARTS = (names, catalog, decision)
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLE = {k: v for part in _PARTS for k, v in part.ORACLE.items()}
