@@ -1,7 +1,7 @@
 """Queries over the test tables, each with its DuckDB SQL."""
 
-from . import catalog, decision, names, state
+from . import catalog, decision, names, quality, state
 
-_PARTS = (names, catalog, decision, state)
+_PARTS = (names, catalog, decision, state, quality)
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLE = {k: v for part in _PARTS for k, v in part.ORACLE.items()}
