@@ -1,7 +1,7 @@
 """Queries over the test tables, each with its DuckDB SQL."""
 
-from . import catalog, decision, messages, names, quality, state
+from . import catalog, decision, messages, names, quality, sources, state
 
-_PARTS = (names, catalog, decision, messages, state, quality)
+_PARTS = (names, catalog, decision, messages, sources, state, quality)
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLE = {k: v for part in _PARTS for k, v in part.ORACLE.items()}
