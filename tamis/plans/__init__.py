@@ -1,7 +1,7 @@
 """Queries over the test tables, each with its DuckDB SQL."""
 
-from . import catalog, decision, flows, governance, messages, names, quality, sources, state
+from . import catalog, decision, flows, governance, messages, names, quality, screen, sources, state
 
-_PARTS = (names, catalog, decision, messages, sources, state, quality, flows, governance)
+_PARTS = (names, screen, catalog, decision, messages, sources, state, quality, flows, governance)
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLE = {k: v for part in _PARTS for k, v in part.ORACLE.items()}
