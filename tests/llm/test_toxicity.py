@@ -75,4 +75,4 @@ def test_a_word_labelled_once_tells(spark):
     top = tox.gram_counts(labelled)
     model = tox.Model.collected(tox.ratios(top, tox.shared_backoff(top)))
     x = model.features(pa.array(["zyxvut", "qomfed"]))
-    assert x[0, 1] > 0.1 and x[1, 1] < -0.1
+    assert x[0, 1] > 0.05 and x[1, 1] < -0.05
