@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tamis.functions.similarity import edit_similarity
 from tamis.functions.text import text_key
 
 
@@ -36,30 +35,7 @@ def as_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def catalog_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Change type counts between two versions of the part catalog (odd keys gone, multiples of 3 renamed)."""
-    base = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("old"))
-    target = base.where("id % 5 <> 0").select(
-        "id", F.when(F.col("id") % 3 == 0, F.concat("old", F.lit(" x"))).otherwise(F.col("old")).alias("new")
-    )
-    kind = (
-        F.when(F.col("new").isNull(), "removed")
-        .when(F.col("old").isNull(), "added")
-        .when(F.col("old") != F.col("new"), "modified")
-        .otherwise("unchanged")
-    )
-    return base.join(target, "id", "full_outer").groupBy(kind.alias("change")).agg(F.count("*").alias("n"))
-
-
-def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edit similarity (basis points) of distinct part names that share their first word."""
-    key = text_key(F.col("p_name"))
-    names = table(spark, sf_dir, "part").select(key.alias("a")).distinct().withColumn("block", F.split("a", " ")[0])
-    other = names.withColumnRenamed("a", "b")
-    return names.join(other, "block").where("a < b").select("a", "b", edit_similarity(F.col("a"), F.col("b")).alias("bp"))
-
-
-QUERIES = {f.__name__: f for f in (name_lookup, candidate_rank, as_of_orders, catalog_diff, name_similarity)}
+QUERIES = {f.__name__: f for f in (name_lookup, candidate_rank, as_of_orders)}
 
 ORACLE = {
     "name_lookup": """
@@ -76,15 +52,5 @@ SELECT o_custkey, order_key FROM (
   SELECT o_custkey, o_orderkey AS order_key,
          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r
   FROM orders WHERE o_orderdate <= DATE '1997-01-01') WHERE r = 1
-""",
-    "catalog_diff": """
-SELECT CASE WHEN p_partkey % 5 = 0 THEN 'removed' WHEN p_partkey % 3 = 0 THEN 'modified' ELSE 'unchanged' END AS change,
-       count(*) AS n FROM part GROUP BY 1
-""",
-    "name_similarity": """
-WITH n AS (SELECT DISTINCT trim(regexp_replace(upper(p_name), '[^\\p{L}\\p{Nd}]+', ' ', 'g')) AS a FROM part)
-SELECT x.a AS a, y.a AS b,
-       (greatest(length(x.a), length(y.a)) - levenshtein(x.a, y.a)) * 10000 // greatest(length(x.a), length(y.a)) AS bp
-FROM n x JOIN n y ON split_part(x.a, ' ', 1) = split_part(y.a, ' ', 1) AND x.a < y.a
 """,
 }
