@@ -92,7 +92,7 @@ def shard_rows(
 ) -> DataFrame:
     """Rows of docs with shard and slot, shard counts at most one apart.
 
-    A row's place on the ring is a hash of its id, so it moves only when its
+    A row's place on the ring is a hash of its id (of its text without one), so it moves only when its
     arc changes hands or its shard overflows.  The driver sees one count per
     cell; ranks are taken inside a cell, which holds 1/65,536 of the rows.
 
@@ -108,10 +108,11 @@ def shard_rows(
         F.col(id_col).alias("__id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-    ).withColumns({"__pos": F.xxhash64(F.coalesce(F.col("__id").cast("string"), F.lit("")))})
+    )
+    place = F.xxhash64(F.when(F.col("__id").isNull(), F.struct("text_crc32", "size")), F.coalesce(F.col("__id").cast("string"), F.lit("")))
+    rows = rows.withColumn("__pos", place)
     rows = rows.withColumn("__cell", F.pmod("__pos", F.lit(cells)).cast("int"))
-    ids = docs.select(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("__pos"))
-    counted = ids.groupBy(F.pmod("__pos", F.lit(cells)).cast("int").alias("cell")).count()
+    counted = rows.groupBy(F.col("__cell").alias("cell")).count()
     runs = fill({r["cell"]: r["count"] for r in counted.collect()}, shards, vnodes, cells)  # at most `cells` rows
     # at most cells + shards * vnodes rows of five integers: some 3 MB
     plan = docs.sparkSession.createDataFrame(
