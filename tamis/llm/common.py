@@ -38,11 +38,15 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
     Cuts the lineage in a way that outlives lost executors; columnar and
-    compressed, so smaller than an RDD checkpoint.
+    compressed, so smaller than an RDD checkpoint.  The files go when the
+    driver ends, as results are read from them until then.
     """
-    path = f"{shared_dir(df.sparkSession)}/tamis/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tamis/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(text: Column) -> Column:
