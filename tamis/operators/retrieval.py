@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamis.functions.similarity import div
 from tamis.functions.text import search_tokens, terms, text_key
 
 BUCKETS = 64
+#: Queries that are compared at once.
+QUERY_BLOCK = 1000
 # fixed values: shares of the three scores, least total, phrases that look like instructions
 WEIGHTS = {"metadata": 3000, "lexical": 5000, "vector": 2000}
 LEAST = 800
@@ -21,33 +24,58 @@ def instructions(value: Column) -> Column:
     return F.transform(found, lambda p: F.lower(F.replace(p, F.lit(" "), F.lit("_"))))
 
 
-def bucket(token: Column) -> Column:
-    """FNV-1a of an ASCII token's bytes, 32 bits, modulo BUCKETS."""
-    step = lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("long")) * F.lit(16777619)).bitwiseAND(F.lit(4294967295))
-    return F.aggregate(F.filter(F.split(token, ""), lambda c: c != ""), F.lit(2166136261).cast("long"), step) % BUCKETS
-
-
-def vector(tokens: Column) -> Column:
-    """How many tokens fall into each bucket that has any: map bucket -> count."""
-    each = F.transform(tokens, bucket)
-    kinds = F.array_distinct(each)
-    return F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter(each, lambda b: b == k))))
-
-
-def total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + v)
-
-
-def vector_similarity(a: Column, b: Column) -> Column:
-    """2 a.b over |a|^2 + |b|^2 in basis points; an empty side gives 0."""
-    dot = total(F.transform(F.map_entries(a), lambda e: e["value"] * F.coalesce(F.try_element_at(b, e["key"]), F.lit(0))))
-    norm = total(F.transform(F.map_values(a), lambda v: v * v)) + total(F.transform(F.map_values(b), lambda v: v * v))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0).cast("long")).otherwise(div(2 * dot * 10000, F.greatest(norm, F.lit(1))))
-
-
-def overlap(query: Column, document: Column) -> Column:
-    """Share of the query's tokens that the document has."""
-    return div(F.size(F.array_intersect(query, document)) * 10000, F.greatest(F.size(query), F.lit(1)))
+def bucket(token: str) -> int:
+    """FNV-1a of a token's bytes, 32 bits, modulo BUCKETS."""
+    h = 2166136261
+    for c in token.encode():
+        h = (h ^ c) * 16777619 & 0xFFFFFFFF
+    return h % BUCKETS
+
+
+class Vectors(dict):
+    """token -> its bucket; tokens come again and again, so each is hashed once."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        k = self[token] = bucket(token)
+        return k
+
+    def matrix(self, lists) -> np.ndarray:
+        """How many of each list's tokens fall into each bucket."""
+        return np.array([np.bincount([self[t] for t in ts], minlength=BUCKETS) for ts in lists], np.int64).reshape(-1, BUCKETS)
+
+
+class Queries:
+    """A block of queries as matrices, to be compared with blocks of chunks."""
+
+    def __init__(self, rows) -> None:
+        self.ids = [r["query_id"] for r in rows]
+        self.tokens = [list(r["qt"]) for r in rows]
+        self.codes = sorted({c for r in rows for c in r["codes"]})
+        self.words = {t: k for k, t in enumerate(sorted({t for ts in self.tokens for t in ts}))}
+        self.sizes = np.array([max(1, len(ts)) for ts in self.tokens])
+        self.has_word = self.incidence(self.tokens)
+        self.has_code = np.array([[r["codes"].count(c) for c in self.codes] for r in rows], np.int64).reshape(len(rows), len(self.codes))
+        self.vectors = Vectors().matrix(self.tokens)
+
+    def incidence(self, lists) -> np.ndarray:
+        out = np.zeros((len(lists), max(1, len(self.words))), np.float32)  # counts below 2^24: exact
+        for k, ts in enumerate(lists):
+            out[k, [self.words[t] for t in ts if t in self.words]] = 1
+        return out
+
+    def scores(self, lists, said, vectors: Vectors) -> dict[str, np.ndarray]:
+        """Chunks by queries: metadata, lexical and vector scores and their points, all whole numbers that cut off."""
+        inside = np.array([[c in s for c in self.codes] for s in said], np.int64).reshape(len(said), len(self.codes))
+        meta = np.minimum(10000, inside @ self.has_code.T * 1500)
+        lexical = (self.incidence(lists) @ self.has_word.T).astype(np.int64) * 10000 // self.sizes
+        v = vectors.matrix(lists)
+        norm = (v**2).sum(1)[:, None] + (self.vectors**2).sum(1)[None, :]
+        some = (v.sum(1) > 0)[:, None] & (self.vectors.sum(1) > 0)[None, :]
+        near = np.where(some, 2 * (v @ self.vectors.T) * 10000 // np.maximum(norm, 1), 0)
+        out = {"metadata": meta, "lexical": lexical, "vector": near}
+        return out | {"points": sum(out[k] * w // 10000 for k, w in WEIGHTS.items())}
 
 
 def exclusion(spec: dict[str, Column], tenant: Column, scope: Column, at: Column) -> Column:
@@ -61,19 +89,39 @@ def exclusion(spec: dict[str, Column], tenant: Column, scope: Column, at: Column
 def retrieved(queries: DataFrame, chunks: DataFrame, top: int = 5) -> DataFrame:
     """The `top` chunks (chunk_id, text, meta) of each query (query_id, text, codes) with LEAST points or more.
 
-    A stated set of queries goes, broadcast, against all chunks; each chunk's
-    tokens and vector are made once.  Ties go to the smaller chunk_id.
+    A stated set of queries is compared with all chunks, in blocks of both, as
+    matrix products; a block hands on no more than `top` chunks a query, so
+    what moves doesn't grow with the pairs.  Ties go to the smaller chunk_id;
+    null texts count as empty.
     """
-    q = queries.withColumn("qt", search_tokens(F.col("text"))).withColumn("qv", vector(F.col("qt"))).select("query_id", "qt", "qv", "codes")
-    c = chunks.withColumn("ct", search_tokens(F.col("text"))).withColumn("cv", vector(F.col("ct")))
-    c = c.withColumn("said", text_key(F.concat_ws(" ", "meta", "text"))).select("chunk_id", "ct", "cv", "said")
-    both = c.join(F.broadcast(q), F.lit(True))
-    meta = F.least(F.lit(10000), F.size(F.filter("codes", lambda k: F.contains(F.col("said"), text_key(k)))) * 1500)
-    both = both.withColumns({"metadata": meta.cast("long"), "lexical": overlap(F.col("qt"), F.col("ct")), "vector": vector_similarity(F.col("qv"), F.col("cv"))})
-    points = sum((div(F.col(k) * w, 10000) for k, w in WEIGHTS.items()), F.lit(0).cast("long"))
-    both = both.select("query_id", "chunk_id", *WEIGHTS, points.alias("points")).where(F.col("points") >= LEAST)
+    asked = queries.select("query_id", search_tokens(F.col("text")).alias("qt"), F.transform("codes", lambda c: text_key(c)).alias("codes"))
+    rows = chunks.select("chunk_id", search_tokens(F.col("text")).alias("ct"), text_key(F.concat_ws(" ", "meta", "text")).alias("said"))
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (chunks, "chunk_id"))]
+    schema = f"query_id {kinds[0]}, chunk_id {kinds[1]}, metadata long, lexical long, vector long, points long"
+
+    def compare(block):
+        def run(frames):
+            vectors = Vectors()
+            for pdf in frames:
+                for at in range(0, len(pdf), 256):
+                    part = pdf.iloc[at : at + 256].sort_values("chunk_id", ignore_index=True)
+                    found = block.scores(part["ct"], part["said"], vectors)
+                    order = np.argsort(-found["points"], axis=0, kind="stable")[:top]  # equal points stay in the order of ids
+                    at_query = np.broadcast_to(np.arange(len(block.ids)), order.shape).ravel()
+                    at_chunk = order.ravel()
+                    good = found["points"][at_chunk, at_query] >= LEAST
+                    i, j = at_chunk[good], at_query[good]
+                    yield pd.DataFrame({"query_id": [block.ids[k] for k in j], "chunk_id": part["chunk_id"].to_numpy()[i], **{k: v[i, j] for k, v in found.items()}})
+
+        return run
+
+    out = None
+    stated = asked.collect()  # the stated queries, not the corpus
+    for lo in range(0, max(1, len(stated)), QUERY_BLOCK):
+        some = rows.mapInPandas(compare(Queries(stated[lo : lo + QUERY_BLOCK])), schema)
+        out = some if out is None else out.unionByName(some)
     best = Window.partitionBy("query_id").orderBy(F.desc("points"), "chunk_id")
-    return both.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)
+    return out.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)
 
 
 def passages_for(queries: DataFrame, passages: DataFrame, top: int = 6) -> DataFrame:

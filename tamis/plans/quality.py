@@ -111,7 +111,7 @@ def passage_search(spark, sf_dir):
 def guidance_retrieval(spark, sf_dir):
     """Five best documents for each benchmark item, by metadata, words and hashed vectors."""
     chunks = bound(spark, sf_dir, "SELECT doc_id AS chunk_id, source AS meta, text FROM {documents} WHERE text IS NOT NULL")
-    asked = bound(spark, sf_dir, "SELECT item_id AS query_id, substring(text, 1, 60) AS text, 'src' || CAST(item_id % 5 AS VARCHAR(3)) AS code FROM {benchmark}").withColumn("codes", F.array("code"))
+    asked = bound(spark, sf_dir, "SELECT item_id AS query_id, text, 'src' || CAST(item_id % 5 AS VARCHAR(3)) AS code FROM {benchmark}").withColumn("codes", F.array("code"))
     return R.retrieved(asked, chunks).select("query_id", "chunk_id", "metadata", "lexical", "vector", "points", "rank")
 
 
@@ -201,7 +201,7 @@ QUALIFY rank <= 6
 """,
     "guidance_retrieval": f"""
 WITH c AS (SELECT doc_id, {_TOKENS.format('text')} AS ct, {_K.format("source || ' ' || text")} AS said FROM documents WHERE text IS NOT NULL),
-q AS (SELECT item_id, {_TOKENS.format("substring(text, 1, 60)")} AS qt, 'SRC' || (item_id % 5) AS code FROM benchmark),
+q AS (SELECT item_id, {_TOKENS.format('text')} AS qt, 'SRC' || (item_id % 5) AS code FROM benchmark),
 cb AS (SELECT doc_id, b, count(*) AS n FROM (SELECT doc_id, {_BUCKET.format('t')} AS b FROM (SELECT doc_id, unnest(ct) AS t FROM c)) GROUP BY ALL),
 qb AS (SELECT item_id, b, count(*) AS n FROM (SELECT item_id, {_BUCKET.format('t')} AS b FROM (SELECT item_id, unnest(qt) AS t FROM q)) GROUP BY ALL),
 dots AS (SELECT item_id, doc_id, sum(cb.n * qb.n) AS dot FROM cb JOIN qb USING (b) GROUP BY ALL),
