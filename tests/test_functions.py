@@ -107,3 +107,13 @@ def test_soundex(spark):
     df = spark.createDataFrame([(w,) for w in words], "w string")
     assert {r.w: r.s for r in df.select("w", S.soundex(F.col("w")).alias("s")).collect()} == {w: plain_soundex(w) for w in words}
     assert unicodedata.normalize("NFC", "É") == "É"
+
+
+def test_buckets_of_tokens():
+    from tamis.operators.retrieval import Queries, Vectors, bucket
+
+    assert bucket("BANK") == 23
+    block = Queries([{"query_id": 1, "qt": ["A1", "BANK"], "codes": ["X", "X"]}, {"query_id": 2, "qt": [], "codes": []}])
+    found = block.scores([["BANK"], []], ["HAS X", ""], Vectors())
+    assert found["lexical"].tolist() == [[5000, 0], [0, 0]] and found["metadata"].tolist() == [[3000, 0], [0, 0]]
+    assert found["vector"].tolist() == [[2 * 10000 // 3, 0], [0, 0]]
