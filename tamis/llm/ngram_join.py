@@ -382,9 +382,10 @@ def near_duplicates(
     keys = settle(index(rep_texts, frequent, bits, size, percent), "ngram-keys")
     buckets = settle(keys.groupBy("key").agg(F.count_distinct("id").alias("m")).where("m > 1"), "ngram-buckets")
     rows = joined_on(keys, buckets.where(F.col("m") <= SMALL), "key").distinct()
-    large = buckets.where(F.col("m") > SMALL)
-    of_large = joined_on(keys.select("key", "id"), large, "key").distinct()
-    held = of_large.groupBy("id").agg(F.min("key").alias("least"), F.collect_set("key").alias("larges"))
+    large = settle(buckets.where(F.col("m") > SMALL).select("key", F.lit(True).alias("large")), "ngram-large-keys")
+    # key rows are marked, not joined away and listed again: no step makes more rows than there are keys
+    marked = keys.select("key", "id").join(F.broadcast(large) if large.count() <= BROADCAST_KEYS else large, "key", "left")
+    held = marked.where("large").groupBy("id").agg(F.min("key").alias("least"), F.collect_set("key").alias("larges"))
     held = settle(held, "ngram-large")
     copies = reps.select(F.col("rep").alias("id"), "copies")
 
@@ -421,7 +422,9 @@ def near_duplicates(
         parts = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS))
         placed = held.join(sizes, "least").withColumn("block", F.xxhash64("least", F.pmod(F.xxhash64("id"), parts.cast("long"))))
         placed = settle(placed.select("id", "block", "larges"), "ngram-blocks")
-        at = placed.select(F.explode("larges").alias("key"), "block").distinct()
+        where = placed.select("id", "block")
+        where = F.broadcast(where) if placed.count() <= BROADCAST_KEYS else where
+        at = marked.join(where, "id", "left").where("large and block is not null").select("key", "block").distinct()
         meet = at.withColumnRenamed("block", "x").join(at.withColumnRenamed("block", "y"), "key").where("x <= y")
         meet = settle(meet.select("x", "y").distinct(), "ngram-meetings")
         wide = placed.join(copies, "id")
