@@ -21,7 +21,7 @@ FREQUENT = 64
 #: ... and if it is more than one in this many of all tokens.  So no more are frequent than this: 16 MB to every task.
 FREQUENT_SHARE = 2_000_000
 #: Sets up to this size are indexed by pairs of frequent tokens; larger ones by frequent tokens alone.
-PAIRED = 300
+PAIRED = 100
 #: Buckets of more members are compared by blocks instead of row by row.
 SMALL = 64
 #: Members of a block, and their tokens, about: what a task that compares two blocks holds, long texts or not.
