@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamis.functions.text import search_tokens, terms, text_key
+from tamis.functions.text import key_terms, passage_key, search_tokens, text_key
 
 BUCKETS = 64
 #: Queries that are compared at once.
@@ -129,11 +129,11 @@ def passages_for(queries: DataFrame, passages: DataFrame, top: int = 6) -> DataF
 
     Terms meet passages by equality, so a passage without any costs nothing.
     """
-    q = queries.select("query_id", F.col("tenant").alias("asked"), F.explode(terms(F.col("text"))).alias("term"))
+    q = queries.select("query_id", F.col("tenant").alias("asked"), F.explode(key_terms(passage_key(F.col("text")))).alias("term"))
     held = [("title", 4), ("text", 2)]
     p = None
     for c, points in held:
-        one = passages.select("passage_id", "tenant", F.explode(F.array_distinct(F.filter(F.split(text_key(F.col(c)), " "), lambda t: F.length(t) >= 2))).alias("term"), F.lit(points).alias("points"))
+        one = passages.select("passage_id", "tenant", F.explode(F.array_distinct(F.filter(F.split(passage_key(F.col(c)), " "), lambda t: F.length(t) >= 2))).alias("term"), F.lit(points).alias("points"))
         p = one if p is None else p.unionByName(one)
     hits = p.join(q, "term").where("tenant = '*' or tenant = asked")
     scored = hits.groupBy("query_id", "passage_id").agg(F.sum("points").alias("score"), F.array_sort(F.collect_set("term")).alias("terms"))
