@@ -49,6 +49,15 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what `settle` wrote of df, which isn't read again, and let the shuffles go that nothing refers to."""
+    spark = df.sparkSession
+    for f in df.inputFiles()[:1]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    spark._jvm.System.gc()
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only.  Pure ASCII texts take the quick built-in."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, joined, one_of_each, restrict, settle
+from .common import BROADCAST_KEYS, discard, joined, one_of_each, restrict, settle
 from .words import Shingler, mix
 
 #: Sets that a task knows again (equal ones count once there, which saves work only).
@@ -16,10 +16,13 @@ MEMORY = 500_000
 HELD = 800_000
 #: Tokens of one bin of the counts (expected): what a task that sums a bin holds.
 BIN = 1 << 22
-#: A token is frequent if so many sets have it ...
-FREQUENT = 64
-#: ... and if it is more than one in this many of all tokens.  So no more are frequent than this: 16 MB to every task.
-FREQUENT_SHARE = 2_000_000
+#: A token is frequent if so many sets have it, or more where else too many would be.  Far below SMALL, so that keys of
+#: rare tokens have small buckets.
+FREQUENT = 8
+#: Frequent tokens, at most: 5 bytes each to every task.
+FREQUENT_MOST = 8_000_000
+#: Levels of a frequent token's number of sets to a doubling of it.
+LEVELS = 4
 #: Sets up to this size are indexed by pairs of frequent tokens; larger ones by frequent tokens alone.
 PAIRED = 100
 #: Buckets of more members are compared by blocks instead of row by row.
@@ -82,31 +85,47 @@ def signatures(docs: DataFrame, size: int, bits: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, n long, s1 long, s2 long, bin long, toks binary, cnts binary")
 
 
-def frequent_tokens(counts: DataFrame, least: int) -> np.ndarray:
-    """The tokens (bin and kept bits) that at least `least` sets have, from exact sums over all tasks."""
+def frequent_tokens(counts: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, levels): the first 32 bits of frequent tokens, sorted, and how frequent they are, from exact sums over all tasks.
+
+    Tokens that share 32 bits are frequent if one of them is, at the highest level of theirs.
+    """
 
     def total(key, table):
         toks = np.concatenate([np.frombuffer(t, "<u4") for t in table["toks"].to_pylist()])
         cnts = np.concatenate([np.frombuffer(c, "<u4") for c in table["cnts"].to_pylist()])
         by = np.argsort(toks, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], toks[by][1:] != toks[by][:-1]]))
-        many = np.add.reduceat(cnts[by].astype(np.int64), first) >= least
-        found = (int(key[0].as_py()) << 32) | toks[by][first][many].astype(np.int64)
-        return pa.table({"tok": pa.array(found, pa.int64())})
-
-    # at most FREQUENT_SHARE rows of 8 bytes
-    found = counts.groupBy("bin").applyInArrow(total, "tok long").toArrow()["tok"].to_numpy()
-    return np.sort(found.astype(np.uint64))
-
-
-def index(reps: DataFrame, frequent: np.ndarray, bits: int, size: int, percent: int) -> DataFrame:
+        toks, cnts = toks[by], cnts[by]
+        first = np.flatnonzero(np.concatenate([[True], toks[1:] != toks[:-1]]))
+        sets = np.add.reduceat(cnts, first, dtype=np.int64)
+        many = sets >= FREQUENT
+        found = (int(key[0].as_py()) << 32) | toks[first][many].astype(np.int64)
+        level = np.floor(LEVELS * np.log2(sets[many])).astype(np.int32)
+        return pa.table({"tok": pa.array(found, pa.int64()), "level": pa.array(level, pa.int32())})
+
+    found = settle(counts.groupBy("bin").applyInArrow(total, "tok long, level int"), "ngram-frequent")
+    levels = sorted(found.groupBy("level").count().collect(), reverse=True)
+    ends = np.cumsum([n for _, n in levels])
+    least = min((level for (level, _), end in zip(levels, ends.tolist(), strict=True) if end <= FREQUENT_MOST), default=1 << 30)
+    found = found.where(F.col("level") >= least).toArrow()  # at most FREQUENT_MOST rows of 12 bytes
+    tok, level = (found["tok"].to_numpy() >> bits).astype(np.uint32), found["level"].to_numpy().astype(np.uint8)
+    by = np.lexsort((level, tok))
+    tok, level = tok[by], level[by]
+    last = np.ones(len(tok), bool)
+    last[:-1] = tok[1:] != tok[:-1]
+    return tok[last], level[last]
+
+
+def index(reps: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: int, percent: int) -> DataFrame:
     """(key, id, n, often, place, f): the signatures of each set.
 
     often: made of frequent tokens; place: how many tokens before the key's
     last one are not in it (-1 for rare keys); f: frequent tokens of the
     prefix.
 
-    Tokens are ordered rare class first, by hash inside a class.  Two sets
+    Tokens are ordered rare class first, by hash, then frequent ones by level
+    and hash: of a family of near copies, its own tokens come before those that
+    all the corpus has.  Two sets
     that link share two tokens among the first n - overlap + 2 of each (sets of
     one token apart).  If one of them is rare, it is a key of both; else two
     frequent ones are, and pairs of frequent tokens are keys - for sets up to
@@ -117,7 +136,7 @@ def index(reps: DataFrame, frequent: np.ndarray, bits: int, size: int, percent:
     kind = reps.schema["id"].dataType.simpleString()
 
     def run(batches):
-        shingler, often = Shingler(size), held.value
+        shingler, (often, levels) = Shingler(size), held.value
         for b in (batch.slice(at, 1000) for batch in batches for at in range(0, batch.num_rows, 1000)):
             keys, ids, ns, often_made, places, fs = [], [], [], [], [], []
             for doc, s in zip(b.column(0).to_pylist(), shingler.sets(b.column(1)), strict=True):
@@ -125,13 +144,14 @@ def index(reps: DataFrame, frequent: np.ndarray, bits: int, size: int, percent:
                 if not n:
                     continue
                 if len(often):
-                    short = s >> np.uint64(32 - bits)
+                    short = (s >> np.uint64(32)).astype(np.uint32)
                     at = np.minimum(np.searchsorted(often, short), len(often) - 1)
                     is_often = often[at] == short
+                    level = levels[at[is_often]]
                 else:
-                    is_often = np.zeros(n, bool)
+                    is_often, level = np.zeros(n, bool), np.zeros(0, np.uint8)
                 prefix = min(n, n - least_overlap(n, percent) + 2)
-                rare, freq = s[~is_often][:prefix], s[is_often]
+                rare, freq = s[~is_often][:prefix], s[is_often][np.argsort(level, kind="stable")]
                 freq = freq[: prefix - len(rare)]
                 found, place = [rare], [np.full(len(rare), -1)]
                 if n <= PAIRED and len(freq) > 1:
@@ -371,15 +391,14 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(31, max(0, (volume // 5 // BIN)).bit_length())
-    first = settle(signatures(texts, size, bits), "ngram-signatures")
-    sigs = first.where("n is not null").select("id", "n", "s1", "s2")
-    tokens = sigs.agg(F.sum("n")).first()[0] or 0
-    counts = first.where("bin is not null").select("bin", "toks", "cnts")
-    frequent = frequent_tokens(counts, max(FREQUENT, -(-tokens // FREQUENT_SHARE)))
+    first = settle(signatures(texts, size, bits), "ngram-counts")
+    sigs = settle(first.where("n is not null").select("id", "n", "s1", "s2"), "ngram-signatures")
+    frequent = frequent_tokens(first.where("bin is not null").select("bin", "toks", "cnts"), bits)
+    discard(first)  # some 4 bytes for each token of the corpus, and again in their shuffle
     classes = sigs.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"))
     reps = settle(classes, "ngram-classes")
     rep_texts = restrict(texts, reps.select(F.col("rep").alias("id")), "id", reps.count())
-    keys = settle(index(rep_texts, frequent, bits, size, percent), "ngram-keys")
+    keys = settle(index(rep_texts, frequent, size, percent), "ngram-keys")
     buckets = settle(keys.groupBy("key").agg(F.count_distinct("id").alias("m")).where("m > 1"), "ngram-buckets")
     rows = joined_on(keys, buckets.where(F.col("m") <= SMALL), "key").distinct()
     large = settle(buckets.where(F.col("m") > SMALL).select("key", F.lit(True).alias("large")), "ngram-large-keys")
