@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows of a key table that may be broadcast (a long and its hash entry: some 30 bytes each).
 BROADCAST_KEYS = 400_000
+#: Rows of a batch of texts that a Python worker is given.
+ARROW_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,6 +54,33 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(run):
+    """run (batches to batches, in a Python task), after which the worker gives freed memory back: it stays for tasks to come."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    """What this process has freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of ARROW_ROWS rows at most, for this session, as JVM and worker both hold a batch."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what `settle` wrote of df, which isn't read again, and let the shuffles go that nothing refers to."""
     spark = df.sparkSession

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, discard, joined, one_of_each, restrict, settle
+from .common import BROADCAST_KEYS, discard, joined, lean, one_of_each, release, restrict, settle, small_batches
 from .words import Shingler, mix
 
 #: Sets that a task knows again (equal ones count once there, which saves work only).
@@ -82,7 +82,7 @@ def signatures(docs: DataFrame, size: int, bits: int) -> DataFrame:
         if kept:
             yield counted()
 
-    return docs.mapInArrow(run, f"id {kind}, n long, s1 long, s2 long, bin long, toks binary, cnts binary")
+    return docs.mapInArrow(lean(run), f"id {kind}, n long, s1 long, s2 long, bin long, toks binary, cnts binary")
 
 
 def frequent_tokens(counts: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +101,8 @@ def frequent_tokens(counts: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarra
         many = sets >= FREQUENT
         found = (int(key[0].as_py()) << 32) | toks[first][many].astype(np.int64)
         level = np.floor(LEVELS * np.log2(sets[many])).astype(np.int32)
+        del toks, cnts, by, first, sets, many
+        release()
         return pa.table({"tok": pa.array(found, pa.int64()), "level": pa.array(level, pa.int32())})
 
     found = settle(counts.groupBy("bin").applyInArrow(total, "tok long, level int"), "ngram-frequent")
@@ -181,7 +183,7 @@ def index(reps: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: int, p
                     names=["key", "id", "n", "often", "place", "f"],
                 )
 
-    return reps.mapInArrow(run, f"key long, id {kind}, n long, often boolean, place long, f long")
+    return reps.mapInArrow(lean(run), f"key long, id {kind}, n long, often boolean, place long, f long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -213,7 +215,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
                 yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return settle(both.mapInArrow(run, f"a {kind}, b {kind}"), "ngram-links")
+    return settle(both.mapInArrow(lean(run), f"a {kind}, b {kind}"), "ngram-links")
 
 
 def overlap_needed(n: str, m: str, percent: int) -> Column:
@@ -343,7 +345,7 @@ def block_links(members: DataFrame, size: int, percent: int) -> DataFrame:
         if held:
             yield columns(solve(pa.Table.from_batches(held)), schema)
 
-    return rows.mapInArrow(run, f"id {kind}, root {kind}, links long")
+    return rows.mapInArrow(lean(run), f"id {kind}, root {kind}, links long")
 
 
 def joined_on(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
@@ -388,6 +390,7 @@ def near_duplicates(
     gives an empty result; other columns are ignored.  Shingles are equal if
     their 64-bit hashes are, which rest on 62-bit hashes of words.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(31, max(0, (volume // 5 // BIN)).bit_length())

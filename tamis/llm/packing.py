@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import lean, release, settle, small_batches
 
 #: Pieces of one sub-problem (expected): the bound on what a task packs at once.
 GROUP = 16_384
@@ -73,7 +73,7 @@ def tokenised(
 
     schema = PIECES.format(kind=kind)
     out = to_arrow_schema(_parse_datatype_string(schema))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), schema)
 
 
 def best_fit(lengths: np.ndarray, items: list[int], limit: int, bins: list[list[int]]) -> list[list[int]]:
@@ -230,6 +230,7 @@ def pack(pieces: DataFrame, limit: int = 2048, group: int = GROUP, islands: int
             seq[b] = (int(pdf["sub"].iloc[0]) << 32) + k
             off[b] = np.cumsum(lengths[b]) - lengths[b]
         done = len(bins) <= -(-int(lengths.sum()) // limit)
+        release()
         return pdf.assign(sequence_id=seq, offset=off, done=done)[[*order, "sub", "island", "sequence_id", "offset", "done"]]
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:

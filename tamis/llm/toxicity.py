@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import lean, settle, small_batches
 from .words import mix
 
 #: Symbols of a gram.  A gram is its symbols side by side in a long, so eight would be the most.
@@ -20,6 +20,8 @@ UNSEEN = 1 / 256
 WINDOW = 10
 #: Labelled rows that the calibration (four weights) is fitted on, at most; the counts take all.
 CALIBRATION_ROWS = 8000
+#: Grams that a task holds before it hands their counts on.
+HELD = 400_000
 COUNTS = ["toxic", "ordinary", "toxic_half", "ordinary_half"]
 GAP = 32
 
@@ -61,7 +63,8 @@ def inside(bounds: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def slices(batch: pa.RecordBatch, rows: int = 512):
+def slices(batch: pa.RecordBatch, rows: int = 64):
+    """A step holds some 80 bytes for each byte of its rows' texts."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
 
@@ -75,14 +78,14 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
     """(gram, toxic, ordinary, toxic_half, ordinary_half) over all symbols of labelled (text, toxic); halves count `fitted` rows."""
 
     def run(batches):
-        held, size = [], 0
+        # keys: gram and kind, sorted; a task's memory stays bounded
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
         def summed():
-            gram, back = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
-            kind = np.concatenate([k for _, k in held])
-            cols = [np.bincount(back, kind == k, len(gram)).astype(np.int64) for k in range(4)]
-            toxic_half, ordinary_half = cols[3], cols[2]
-            rows = [gram.view(np.int64), cols[1] + cols[3], cols[0] + cols[2], toxic_half, ordinary_half]
+            gram = keys >> np.uint64(2)
+            first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            cols = [np.add.reduceat(np.where(keys & np.uint64(3) == k, counts, 0), first) for k in range(4)]
+            rows = [gram[first].view(np.int64), cols[1] + cols[3], cols[0] + cols[2], cols[3], cols[2]]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["gram", *COUNTS])
 
         for batch in batches:
@@ -90,16 +93,21 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
                 every, bounds = symbols(b.column("text"))
                 kind = np.asarray(b.column("toxic")) + 2 * np.asarray(b.column("half"))
                 use = inside(bounds, len(every))
-                held.append((grams(every)[use], np.repeat(kind, np.diff(bounds))[use].astype(np.int8)))
-                size += len(every)
-                if size > 2_000_000:  # a task's memory stays bounded
+                found = (grams(every)[use] << np.uint64(2)) | np.repeat(kind, np.diff(bounds))[use].astype(np.uint64)
+                found, times = np.unique(found, return_counts=True)
+                found, times = np.concatenate([keys, found]), np.concatenate([counts, times])
+                by = np.argsort(found, kind="stable")
+                found = found[by]
+                first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else by
+                keys, counts = found[first], np.add.reduceat(times[by], first) if len(found) else counts
+                if len(keys) > HELD:
                     yield summed()
-                    held, size = [], 0
-        if held:
+                    keys, counts = keys[:0], counts[:0]
+        if len(keys):
             yield summed()
 
     rows = labelled.select("text", F.col("toxic").cast("int").alias("toxic"), fitted(F.col("text")).cast("int").alias("half"))
-    parts = rows.mapInArrow(run, "gram long, " + ", ".join(f"{c} long" for c in COUNTS))
+    parts = rows.mapInArrow(lean(run), "gram long, " + ", ".join(f"{c} long" for c in COUNTS))
     return settle(parts.groupBy("gram").agg(*[F.sum(c).alias(c) for c in COUNTS]), "toxicity-grams")
 
 
@@ -247,6 +255,7 @@ def train(labelled: DataFrame) -> Model:
     order, with a model that has not counted them.  Null texts count as empty;
     without rows the model has no evidence for any text.
     """
+    small_batches(labelled.sparkSession)
     top = gram_counts(labelled)
     below = shared_backoff(top)
     apart = Model.collected(ratios(top, below, "_half"))
@@ -262,7 +271,7 @@ def train(labelled: DataFrame) -> Model:
                 )
 
     # features, not texts, go to the driver
-    some = rows.mapInArrow(run, "h long, mean double, best double, size double, toxic int")
+    some = rows.mapInArrow(lean(run), "h long, mean double, best double, size double, toxic int")
     some = some.orderBy("h", "mean", "best", "size", "toxic").limit(CALIBRATION_ROWS).toPandas()
     x = np.column_stack([np.ones(len(some)), some["mean"], some["best"], some["size"]]) if len(some) else np.zeros((0, 4))
     apart.calibrate(x, some["toxic"].to_numpy(float))
@@ -282,6 +291,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     Null and letterless texts get the score of no evidence; repeated rows come
     out again; an empty table gives an empty result; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -294,5 +304,5 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = rows.mapInArrow(run, f"id {kind}, score double, mean double, best double")
+    found = rows.mapInArrow(lean(run), f"id {kind}, score double, mean double, best double")
     return found.select(F.col("id").alias(id_col), "score", "mean", "best")
