@@ -17,8 +17,9 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows of a key table that may be broadcast (a long and its hash entry: some 30 bytes each).
 BROADCAST_KEYS = 400_000
-#: Rows of a batch of texts that a Python worker is given.
+#: Rows of a batch of texts that a Python worker is given, and its bytes, about: long texts make small batches.
 ARROW_ROWS = 1000
+ARROW_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -76,9 +77,13 @@ def release() -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts go to Python in batches of ARROW_ROWS rows at most, for this session, as JVM and worker both hold a batch."""
+    """Texts go to Python in batches of ARROW_ROWS rows and some ARROW_BYTES at most, for this session, as JVM and worker both hold a batch."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    # an executor's JVM keeps its buffers outside the heap for batches to come, so the largest batch counts
+    most = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(most) > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def discard(df: DataFrame) -> None:
