@@ -78,14 +78,15 @@ def tokenised(
 
 def best_fit(lengths: np.ndarray, items: list[int], limit: int, bins: list[list[int]]) -> list[list[int]]:
     """Puts items, longest first, each into the fullest bin that has room; bins is added to."""
+    of = lengths.tolist()
     room: dict[int, list[int]] = {}
     open_rooms = 0  # bit r: some bin has r tokens left
     for k, held in enumerate(bins):
-        r = limit - int(lengths[held].sum())
+        r = limit - sum(map(of.__getitem__, held))
         room.setdefault(r, []).append(k)
         open_rooms |= 1 << r
-    for i in sorted(items, key=lambda i: -lengths[i]):
-        n = int(lengths[i])
+    for i in sorted(items, key=lambda i: -of[i]):
+        n = of[i]
         fits = open_rooms >> n
         if fits:
             r = n + (fits & -fits).bit_length() - 1
@@ -107,8 +108,9 @@ def fill_well(lengths: np.ndarray, items: list[int], limit: int, rng) -> list[li
     Now and then (by rng) a length is passed over, so that each seed gives other bins.
     """
     left: dict[int, list[int]] = {}
+    of = lengths.tolist()
     for i in items:
-        left.setdefault(int(lengths[i]), []).append(i)
+        left.setdefault(of[i], []).append(i)
     have = sum(1 << n for n in left)  # bit n: an item of n tokens is left
     bins = []
 
@@ -148,7 +150,8 @@ def fill_well(lengths: np.ndarray, items: list[int], limit: int, rng) -> list[li
 
 def crossover(lengths: np.ndarray, donor: list[list[int]], receiver: list[list[int]], limit: int, rng) -> list[list[int]]:
     """Whole well-filled bins of the donor go in; bins that hold their items go, and what they held besides is best-fitted."""
-    fill = np.array([lengths[b].sum() for b in donor])
+    of = lengths.tolist().__getitem__  # plain numbers: a bin holds few, for which arrays cost more than they save
+    fill = np.array([sum(map(of, b)) for b in donor])
     good = np.flatnonzero(fill >= np.quantile(fill, 0.25))
     taken = [donor[k] for k in good[rng.random(len(good)) < 0.5]]
     inside = {i for b in taken for i in b}
@@ -158,7 +161,7 @@ def crossover(lengths: np.ndarray, donor: list[list[int]], receiver: list[list[i
             kept.append(list(b))
         else:
             displaced += [i for i in b if i not in inside]
-    least = [k for k, b in enumerate(kept) if lengths[b].sum() < 0.9 * limit]  # poorly filled ones are dealt anew
+    least = [k for k, b in enumerate(kept) if sum(map(of, b)) < 0.9 * limit]  # poorly filled ones are dealt anew
     gone = set(least)
     displaced += [i for k in least for i in kept[k]]
     return best_fit(lengths, displaced, limit, [list(b) for b in taken] + [b for k, b in enumerate(kept) if k not in gone])
@@ -166,7 +169,8 @@ def crossover(lengths: np.ndarray, donor: list[list[int]], receiver: list[list[i
 
 def fitness(lengths: np.ndarray, bins: list[list[int]]) -> tuple[int, float]:
     """Smaller is better: bins, then how unevenly they are filled."""
-    return len(bins), -float(sum(float(lengths[b].sum()) ** 2 for b in bins))
+    of = lengths.tolist().__getitem__
+    return len(bins), -float(sum(float(sum(map(of, b))) ** 2 for b in bins))
 
 
 def evolve(lengths: np.ndarray, limit: int, seed: int, migrants: list[list[list[int]]] = (), generations: int = GENERATIONS):
